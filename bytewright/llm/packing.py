@@ -10,7 +10,7 @@ of powers of two, which need no padding. So no sequence is padded.
 Every task packs the documents of its input split; no rows are moved. A sequence's id holds the task's partition.
 
 Tokens: the pre-tokenizer never joins across white space, so the tokens of a text are those of its words in turn,
-and each task keeps the tokens of words that it has seen (``CACHE_WORDS`` at most; then it starts anew). Texts with
+and each Python worker keeps the tokens of words that it has seen (from ``CACHE_WORDS`` on it starts anew). Texts with
 characters that Python and the tokenizer don't agree on as white space are encoded in one call.
 
 Defined cases: a null or empty text is ``end_id`` alone; a null doc_id stays null; repeated rows are packed as often;
@@ -19,6 +19,7 @@ an empty table gives an empty result; other columns are ignored; documents longe
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -33,40 +34,75 @@ from bytewright.plans.columns import pick
 from bytewright.sources.tables import table
 
 NAME = "op9_packing"
-WINDOW, END_ID, CACHE_WORDS = 4096, 2, 300_000
+WINDOW, END_ID, CACHE_WORDS = 4096, 2, 600_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
 
 
 class Ids:
-    """Token ids of texts, as little-endian 32-bit bytes."""
+    """Token ids of texts, as little-endian 32-bit bytes. One of these serves all tasks of a Python worker."""
+
+    _kept: dict[str, Ids] = {}
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        size = self.encoder.get_vocab_size()
+        self.ends = np.fromiter(((self.encoder.id_to_token(i) or "").endswith("</w>") for i in range(size)), bool, size)
         self.words: dict[str, bytes] = {}
 
+    @classmethod
+    def at(cls, path: str) -> Ids:
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch(texts, add_special_tokens=False)]
 
-    def of(self, texts: list[str | None]) -> Iterator[bytes]:
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Words of nothing but letters are one pre-token each, whose last token alone ends a word."""
+        ids = np.array(self.encoder.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(cuts) != len(words):
+            return self._encode(words)
+        data, starts = ids.tobytes(), [0, *cuts[:-1].tolist()]
+        return [data[a:b] for a, b in zip(starts, cuts.tolist(), strict=True)]
+
+    def _learn(self, new: set[str]) -> None:
         known = self.words
-        for text in texts:
-            if not text:
-                yield b""
-            elif _ODD.search(text):
-                yield self._encode([text])[0]
-            else:
-                words = text.split()
-                try:
-                    yield b"".join([known[w] for w in words])
-                except KeyError:
-                    if len(known) > CACHE_WORDS:
-                        known.clear()
-                    new = list({w for w in words if w not in known})
-                    known.update(zip(new, self._encode(new), strict=True))
-                    yield b"".join([known[w] for w in words])
+        stems = {w[:-1] for w in new if w[-1] in ".,!" and w[:-1].isalpha()}
+        marks = {w[-1] for w in new if w[:-1] in stems}
+        letters = [w for w in ({w for w in new if w.isalpha()} | stems) if w not in known]
+        for at in range(0, len(letters), 5_000):
+            known.update(zip(letters[at : at + 5_000], self._encode_letters(letters[at : at + 5_000]), strict=True))
+        rest = [w for w in (new | marks) if w not in known and w[:-1] not in stems]
+        known.update(zip(rest, self._encode(rest), strict=True))
+        known.update((w, known[w[:-1]] + known[w[-1]]) for w in new if w[:-1] in stems)
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        known = self.words
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        split = [None if t and _ODD.search(t) else _plain(t or "").split() for t in texts]
+        new: set[str] = set()
+        for words in split:
+            new.update(words or ())
+        new -= known.keys()
+        if new:
+            self._learn(new)
+        return [self._encode([t])[0] if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, split, strict=True)]
+
+
+def _plain(text: str) -> str:
+    """In lower case where that changes no token: in Latin-1, composing characters doesn't interfere with case."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 class Packer:
@@ -148,7 +184,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id
     end = int(end_id).to_bytes(4, "little")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, packer = Ids(tokenizer), Packer(window, TaskContext.get().partitionId() << 33)
+        ids, packer = Ids.at(tokenizer), Packer(window, TaskContext.get().partitionId() << 33)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
