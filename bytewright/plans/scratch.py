@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,3 +37,10 @@ def release(spark: SparkSession) -> None:
     """Deletes what ``materialize`` has written in this application; frames read from there end with it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_root(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of frames that are no longer in use, which it else does when its driver's
+    memory runs low."""
+    gc.collect()
+    spark._jvm.System.gc()
