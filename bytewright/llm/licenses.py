@@ -11,8 +11,7 @@ n = 1. With ``BANDS`` bands of one row each, such a window shares no band with a
 (1 - 0.166) ** 128 < 1e-10.
 
 A window without any template's shingle can share no band, so signatures are computed just for windows that hold
-one; this loses nothing. Everything else happens inside a document's row: no text is shuffled. Templates are literals
-up to ``INLINE`` shingles, else a join.
+one; this loses nothing. It happens inside a document's row: no text is shuffled, just the windows' bands are joined.
 
 Defined cases: null and empty texts hold no license; repeated rows and equal doc_ids are reported together, once for
 each license; empty tables give empty results; other columns are ignored; a template without words fits nothing.
@@ -21,7 +20,7 @@ each license; empty tables give empty results; other columns are ignored; a temp
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,14 +47,32 @@ def template_shingles(text: str, size: int = SHINGLE) -> list[str]:
     return list(dict.fromkeys(" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))))
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(text), _SPACE), lambda w: w != "")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _shingles(words: Column, firsts: list[str], size: int) -> Column:
-    """Shingles in turn; null where the first word begins no template's shingle, as such a one is in no template."""
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.when(F.get(words, i).isin(firsts), F.array_join(F.slice(words, i + 1, F.lit(size)), " ")))
+def _windows(text: Column, every: list[str], classes: list[int], size: int) -> Column:
+    """The windows of a text that hold a template's shingle: (class, held), held being the window's distinct shingles.
+    Just where a shingle's first word begins one of a template it is put together and looked up."""
+    firsts = sorted({x.split(" ")[0] for x in every})
+
+    def of_words(words: Column) -> Column:
+        n = F.greatest(F.size(words) - size + 1, F.lit(1))
+        whole = lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " ")
+        likely = F.filter(F.transform(words, lambda w, i: F.when(w.isin(firsts), i)), lambda i: i.isNotNull() & (i < n))
+
+        def of_hits(hits: Column) -> Column:
+            def of_class(c: int) -> Column:
+                at = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.array(F.floor(h / c).cast("int"), F.greatest(F.floor(h / c).cast("int") - 1, F.lit(0))))))
+                last = lambda k: F.least((k + 2) * c, n) - 1
+                return F.transform(at, lambda k: F.struct(F.lit(c).alias("class"), F.array_distinct(F.transform(F.sequence(k * c, last(k)), whole)).alias("held")))
+
+            return F.concat(*(of_class(c) for c in classes))
+
+        return _let(F.filter(likely, lambda i: whole(i).isin(every)), of_hits)
+
+    return _let(F.filter(F.split(ascii_lower(text), _SPACE), lambda w: w != ""), of_words)
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS) -> DataFrame:
@@ -67,26 +84,12 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     classes = sorted({1 << (len(s) - 1).bit_length() for _, s in known})
     if not every:
         return spark.createDataFrame([], "doc_id long, license string, containment double, n_windows long")
-    firsts = sorted({x.split(" ")[0] for x in every})
-    parts = docs.select("doc_id", _words(F.col("text")).alias("words"))
-    rows = parts.select("doc_id", "words", _shingles(F.col("words"), firsts, size).alias("shingles"))
-    rows = rows.withColumn("hits", F.filter(F.transform("shingles", lambda s, i: F.when(s.isin(every), i)), lambda i: i.isNotNull())).where(F.size("hits") > 0)
-
-    def windows(c: int) -> Column:
-        """Of class c: those that begin at c * k and hold a hit."""
-        begins = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.array(F.floor(h / c).cast("int"), F.greatest(F.floor(h / c).cast("int") - 1, F.lit(0))))))
-        return F.transform(begins, lambda k: F.struct(F.lit(c).alias("c"), (k * c).alias("at")))
-
-    rows = rows.withColumn("w", F.explode(F.concat(*(windows(c) for c in classes))))
-    full = lambda i: F.array_join(F.slice("words", i + 1, F.lit(size)), " ")
-    last = F.least(F.col("w.at") + 2 * F.col("w.c"), F.size("shingles")) - 1
-    held = F.array_distinct(F.transform(F.sequence(F.col("w.at"), last), full))
-    rows = rows.where(F.col("w.at") < F.size("shingles")).select("doc_id", F.col("w.c").alias("class"), held.alias("held"))
+    # explode_outer: of the other, Spark would infer a filter that computes all windows twice
+    rows = docs.select("doc_id", F.explode_outer(_windows(F.col("text"), every, classes, size)).alias("w")).where("w is not null").select("doc_id", "w.*")
     signature = lambda held: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.array_min(F.transform(held, lambda s: F.xxhash64(s, b))).alias("least")))
-    rows = rows.withColumn("window", F.xxhash64("held")).withColumn("bands", signature(F.col("held")))
     sets = spark.createDataFrame([(name, 1 << (len(s) - 1).bit_length(), s) for name, s in known], "license string, class int, template array<string>")
     keys = sets.select("license", "class", "template", F.explode(signature(F.col("template"))).alias("key"))
-    pairs = rows.select("doc_id", "class", "held", F.explode("bands").alias("key")).join(keys, ["class", "key"])
+    pairs = rows.select("doc_id", "class", "held", F.explode(signature(F.col("held"))).alias("key")).join(keys, ["class", "key"])
     pairs = pairs.groupBy("doc_id", "license", "class", "held", "template").agg(F.count(F.lit(1)).alias("shared"))
     share = F.size(F.array_intersect("template", "held")) / F.size("template")
     fits = pairs.withColumn("containment", share).where(F.col("containment") >= threshold)
