@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("url_rules", "mixing", "packing", "pii", "licenses", "toxicity", "vptree", "hnsw", "jaccard")
+_MODULES = ("url_rules", "mixing", "packing", "pii", "licenses", "toxicity", "vptree", "hnsw", "jaccard", "suffixes")
 
 
 def _loaded() -> list:

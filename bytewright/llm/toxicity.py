@@ -39,7 +39,7 @@ from bytewright.sources.tables import table
 
 NAME = "op4_toxicity"
 ORDER, DECAY, SPAN, LONGEST = 3, 0.8, 7, 24
-LANDMARKS, ROUNDS, SAMPLE, THRESHOLD = 256, 3, 2000, 0.3
+LANDMARKS, ROUNDS, SAMPLE, THRESHOLD = 256, 3, 800, 0.3
 PURE, SLOPE = 20, 4.0  # purity of words first taken as toxic; of the logistic function
 CACHE_WORDS = 400_000
 _CODES = 48  # classes of characters
@@ -105,7 +105,7 @@ class Model:
     def decide(self, words: list[str]) -> np.ndarray:
         """Of words without the marks at their ends, and of their letters alone, the larger."""
         bare = [w.strip(_EDGES) or w for w in words]
-        out = np.concatenate([np.zeros(0)] + [Kernel(bare[i : i + 20_000]).total(self.table) + self.bias for i in range(0, len(bare), 20_000)])
+        out = np.concatenate([np.zeros(0)] + [Kernel(bare[i : i + 5_000]).total(self.table) + self.bias for i in range(0, len(bare), 5_000)])
         mixed = [i for i, w in enumerate(bare) if not w.isalpha() and not any(c.isdigit() or c in "=@/" for c in w)]
         joined = [(i, w) for i in mixed if len(w := "".join(filter(str.isalpha, bare[i]))) > 3]
         if joined:  # characters put between letters
