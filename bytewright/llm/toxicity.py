@@ -39,7 +39,7 @@ from bytewright.sources.tables import table
 
 NAME = "op4_toxicity"
 ORDER, DECAY, SPAN, LONGEST = 3, 0.8, 7, 24
-LANDMARKS, ROUNDS, SAMPLE, THRESHOLD = 256, 3, 800, 0.3
+LANDMARKS, ROUNDS, SAMPLE, THRESHOLD = 256, 3, 600, 0.3
 PURE, SLOPE = 20, 4.0  # purity of words first taken as toxic; of the logistic function
 CACHE_WORDS = 400_000
 _CODES = 48  # classes of characters
