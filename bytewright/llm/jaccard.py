@@ -36,6 +36,7 @@ from bytewright.sources.tables import table
 
 NAME = "op5_jaccard"
 SIZE, PERCENT, MORE, ORDERS, FREQUENT = 5, 75, 0.02, 3, 0.001
+BROADCAST_ROWS = 500_000  # ids, 8 bytes each; more of them are joined by a shuffle
 _BLOCK = 4_000_000  # hashes that are counted together
 
 
@@ -173,6 +174,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: in
     """The pairs (a, b) of nodes that are similar. Texts are fetched for the nodes in pairs alone."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     one = members.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
+    one = materialize(one.select("doc_id"), "jaccard-wanted")
+    if one.count() <= BROADCAST_ROWS:
+        one = F.broadcast(one)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, 500):
@@ -185,10 +189,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: in
             keep = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent, orders) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
-    texts = docs.join(one.select("doc_id"), "doc_id", "left_semi").select("text")
+    texts = docs.join(one, "doc_id", "left_semi").select("text")
     held = materialize(texts.mapInArrow(sets, "node long, set binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
     both = pairs.join(held.toDF("a", "set_a"), "a").join(held.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    return materialize(both.mapInArrow(verify, "a long, b long"), "jaccard-links")
+    links = materialize(both.mapInArrow(verify, "a long, b long"), "jaccard-links")
+    del both, held, texts
+    forget(docs.sparkSession)
+    return links
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, orders: int = ORDERS, frequent: float = FREQUENT) -> DataFrame:
@@ -206,7 +213,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE
     shared = materialize(_shared(rows.repartition(parts, "token").sortWithinPartitions("token", "node")), "jaccard-tokens")
     del rows
     forget(spark)
-    led = shared.where("node != lead").groupBy("node", "lead").count().groupBy("node").agg(F.max(F.struct("count", "lead")).alias("best"))
+    led = shared.where("node != lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("count"), F.first("n").alias("n"))
+    led = led.where(F.col("count") >= 1 + F.floor(F.col("n") * MORE)).groupBy("node").agg(F.max(F.struct("count", "lead")).alias("best"))
     links = _verified(led.select(F.col("node").alias("a"), F.col("best.lead").alias("b")), docs, members, percent, orders, size)
     groups = materialize(components(links), "jaccard-groups")
     held = shared.select("token", "node", "n").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
