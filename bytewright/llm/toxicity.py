@@ -283,8 +283,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 _SCORES: dict[bytes, dict[str, float]] = {}
 
 
-def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with doc_id and text to doc_id, held_out, score, predicted."""
+def score_documents(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``docs`` with doc_id and text to the columns ``keep``, held_out, score, predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = b"" if model is None else model.table.tobytes()
@@ -305,12 +305,13 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
                     known.update(zip(new, model.decide(new).tolist(), strict=True))
                     scores = model.score(np.array([max(map(known.__getitem__, words), default=least) for words in found]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32))],
-                    ["doc_id", "held_out", "score", "predicted"],
+                    [*(part.column(c) for c in keep), part.column("held_out"), pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32))],
+                    [*keep, "held_out", "score", "predicted"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(*keep, *(c for c in ("text",) if c not in keep), held_out(F.col("doc_id")).alias("held_out"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
+    return rows.mapInArrow(run, f"{kinds}, held_out boolean, score double, predicted int")
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -320,4 +321,4 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a model of the labelled ones that are not held out."""
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return score_documents(docs, fitted(docs, table(spark, sf_dir, "labels")))
+    return score_documents(docs.withColumn("doc_id", F.col("doc_id").cast("long")), fitted(docs, table(spark, sf_dir, "labels")))
