@@ -1,10 +1,14 @@
 """Byte-level analytics as DataFrame operations: histograms, entropy, runs, block splits, costs, d-mers, cut points.
 
-Bytes become rows through ``byte_rows``; counts are partial aggregates, so a column of any size is one shuffle of at most
-256 rows for each task and group."""
+Counts within one value are taken over Arrow batches; across values they are partial aggregates, so a column of any
+size is one shuffle of at most 256 rows for each task and group. ``byte_rows`` is the plain SQL form, a row a byte."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +28,30 @@ def byte_rows(rows: DataFrame, data: str, *keys: str) -> DataFrame:
     return rows.select(*keys, F.posexplode(F.split(F.regexp_replace(F.hex(data), "(..)(?!$)", "$1,"), ",")).alias("pos", "pair")).where("pair != ''").select(*keys, "pos", F.conv("pair", 16, 10).cast("int").alias("byte"))
 
 
+def _mapped(rows: DataFrame, data: str, keys: tuple[str, ...], schema: str, of_value: Callable) -> DataFrame:
+    """Rows of ``of_value(bytes)``, an iterable of int tuples, behind the keys of each row."""
+    kinds = ", ".join(f"{rows.schema[k].name} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*keys, *(x.split()[0] for x in schema.split(", "))]
+        for batch in batches:
+            found = [of_value(np.frombuffer(v or b"", np.uint8)) for v in batch.column(data).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            numbers = np.concatenate([np.zeros((0, len(names) - len(keys)), np.int64), *found])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *(pa.array(c) for c in numbers.T)], names)
+
+    return rows.select(*keys, data).mapInArrow(run, ", ".join(x for x in (kinds, schema) if x))
+
+
 def byte_histogram(rows: DataFrame, data: str, *keys: str) -> DataFrame:
-    return byte_rows(rows, data, *keys).groupBy(*keys, "byte").agg(F.count(F.lit(1)).alias("n"))
+    """(keys, byte, n)."""
+
+    def counted(v: np.ndarray) -> np.ndarray:
+        n = np.bincount(v, minlength=256)
+        held = np.flatnonzero(n)
+        return np.stack([held, n[held]], 1)
+
+    return _mapped(rows, data, keys, "byte long, n long", counted).groupBy(*keys, "byte").agg(F.sum("n").alias("n"))
 
 
 def entropy(histogram: DataFrame, *keys: str) -> DataFrame:
@@ -35,23 +61,28 @@ def entropy(histogram: DataFrame, *keys: str) -> DataFrame:
 
 
 def runs(rows: DataFrame, data: str, key: str, least: int = 3) -> DataFrame:
-    """(key, start, length, byte) of runs of one byte. Windows are within one value."""
-    each = byte_rows(rows, data, key)
-    island = F.col("pos") - F.row_number().over(Window.partitionBy(key, "byte").orderBy("pos"))
-    marked = each.withColumn("island", island)
-    found = marked.groupBy(key, "byte", "island").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("length"))
-    return found.where(F.col("length") >= least).select(key, "start", "length", "byte")
+    """(key, start, length, byte) of runs of one byte, at least ``least`` long."""
+
+    def found(v: np.ndarray) -> np.ndarray:
+        starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+        lengths = np.diff(np.append(starts, len(v)))
+        keep = lengths >= least
+        return np.stack([starts[keep], lengths[keep], v[starts[keep]].astype(np.int64)], 1)
+
+    return _mapped(rows, data, (key,), "start long, length long, byte long", found)
 
 
 def block_distances(rows: DataFrame, data: str, key: str, size: int = 512) -> DataFrame:
     """(key, block, distance, split): how far each block's byte counts are from those of the block before, as a splitter
     sees it; ``split`` where 512 times the distance reaches 200 times the count."""
-    counts = byte_rows(rows, data, key).groupBy(key, F.floor(F.col("pos") / size).alias("block"), "byte").agg(F.count(F.lit(1)).alias("n"))
-    after = counts.select(key, (F.col("block") + 1).alias("block"), "byte", (-F.col("n")).alias("n"))
-    both = counts.union(after).groupBy(key, "block", "byte").agg(F.sum("n").alias("d"))
-    last = counts.groupBy(key).agg(F.max("block").alias("last"))
-    out = both.groupBy(key, "block").agg(F.sum(F.abs("d")).alias("distance")).join(last, key).where("block >= 1 and block <= last")
-    return out.select(key, "block", "distance", (512 * F.col("distance") >= 200 * size).alias("split"))
+
+    def found(v: np.ndarray) -> np.ndarray:
+        n = -(-len(v) // size)
+        counts = np.bincount(np.arange(len(v)) // size * 256 + v, minlength=256 * n).reshape(n, 256)
+        distance = np.abs(np.diff(counts, axis=0)).sum(1) if n > 1 else np.zeros(0, np.int64)
+        return np.stack([np.arange(1, len(distance) + 1), distance], 1)
+
+    return _mapped(rows, data, (key,), "block long, distance long", found).withColumn("split", 512 * F.col("distance") >= 200 * size)
 
 
 def deflate_costs(histogram: DataFrame, key: str) -> DataFrame:
@@ -63,11 +94,21 @@ def deflate_costs(histogram: DataFrame, key: str) -> DataFrame:
     return sums.select(key, stored.cast("long").alias("stored_bits"), fixed.cast("long").alias("fixed_bits"), F.when(stored < fixed, "stored").otherwise("fixed").alias("kind"))
 
 
-def dmers(rows: DataFrame, text: str, d: int = 8) -> DataFrame:
-    """(dmer, n): the most frequent strings are what a trained dictionary holds. Counted once for each position."""
-    places = F.sequence(F.lit(1), F.char_length(text) - d + 1)
-    each = rows.where(F.char_length(text) >= d).select(F.explode(F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(d)))).alias("dmer"))
-    return each.groupBy("dmer").agg(F.count(F.lit(1)).alias("n"))
+def dmers(rows: DataFrame, data: str) -> DataFrame:
+    """(dmer, n): strings of eight bytes, as hexadecimal digits, by how many positions they stand at. The most frequent
+    are what a trained dictionary holds."""
+
+    def counted(v: np.ndarray) -> np.ndarray:
+        if len(v) < 8:
+            return np.zeros((0, 2), np.int64)
+        whole = np.zeros(len(v) - 7, np.uint64)
+        for k in range(8):
+            whole = whole << np.uint64(8) | v[k : k + len(whole)].astype(np.uint64)
+        found, n = np.unique(whole, return_counts=True)
+        return np.stack([found.view(np.int64), n], 1)
+
+    counts = _mapped(rows, data, (), "dmer long, n long", counted).groupBy("dmer").agg(F.sum("n").alias("n"))
+    return counts.select(F.lpad(F.hex("dmer"), 16, "0").alias("dmer"), "n")
 
 
 def match_distances(rows: DataFrame, data: str, key: str, window: int = 32768) -> DataFrame:

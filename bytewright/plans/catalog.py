@@ -1,4 +1,6 @@
-"""Named queries of the byte-stream engine, each with SQL for comparison where SQL can express it."""
+"""Named queries of the byte-stream engine, each with SQL for comparison where SQL can express it.
+
+Codecs are beyond SQL, but decode(encode(x)) = x is not: round trips are compared by the MD5 of the text."""
 
 from __future__ import annotations
 
@@ -7,18 +9,192 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytewright.functions import checksums as C
+from bytewright.functions import codecs, filters
+from bytewright.operators import analysis, chunked, framing
 from bytewright.plans.columns import pick
 from bytewright.sources.tables import table
 
+CODECS = ("gzip", "zlib", "raw", "zstd", "lz4", "snappy", "snappy_stream", "brotli", "bzip2", "xz", "lzma")
+BOUNDS = ("gzip", "zlib", "raw", "lz4", "lz4_block", "zstd", "snappy", "brotli")
+_Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
+    return docs.withColumn("content", F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+
+
+def _checksum(column: Callable, name: str) -> _Query:
+    return lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", column(F.col("content")).alias(name))
+
+
+def _merged(merge: Callable, column: Callable, group: str, name: str) -> _Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pieces = _docs(spark, sf_dir).select(group, "doc_id", column(F.col("content")).alias(name), F.octet_length("content").cast("long").alias("n_bytes"))
+        return merge(pieces, [group], "doc_id", name, "n_bytes")
+
+    return run
+
+
+def _roundtrip(codec: str) -> _Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        packed = _docs(spark, sf_dir).select("doc_id", codecs.compress(F.col("content"), codec).alias("packed"))
+        return packed.select("doc_id", codecs.decompress(F.col("packed"), codec).alias("b")).select("doc_id", F.octet_length("b").cast("long").alias("n_bytes"), F.md5("b").alias("md5"))
+
+    return run
+
+
+def _units(codec: str, format: str) -> _Query:
+    """Objects of one codec, walked: the number of data units and the decoded bytes they declare."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        packed = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), codecs.compress(F.col("content"), codec).alias("content"))
+        data = framing.units(packed, format).where("kind not in ('identifier', 'skippable', 'padding')")
+        return data.groupBy(F.col("path").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_units"), F.sum(F.coalesce("out_len", F.lit(0))).alias("n_bytes"))
+
+    return run
+
+
+def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _docs(spark, sf_dir).select("doc_id", F.octet_length("content").cast("long").alias("n"))
+    return n.select("doc_id", *(codecs.bound(F.col("n"), c).cast("long").alias(c) for c in BOUNDS))
+
+
+def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.byte_histogram(_docs(spark, sf_dir), "content")
+
+
+def byte_entropy_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = analysis.entropy(analysis.byte_histogram(_docs(spark, sf_dir), "content", "lang"), "lang")
+    return found.select("lang", "n_bytes", F.round("bits", 6).alias("bits"))
+
+
+def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.runs(_docs(spark, sf_dir), "content", "doc_id")
+
+
+def block_split_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.block_distances(_docs(spark, sf_dir), "content", "doc_id").where("split").select("doc_id", "block", "distance")
+
+
+def stored_vs_fixed_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.deflate_costs(analysis.byte_histogram(_docs(spark, sf_dir), "content", "doc_id"), "doc_id")
+
+
+def dmer_coverage_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred most frequent strings of eight bytes."""
+    return analysis.dmers(_docs(spark, sf_dir), "content").orderBy(F.desc("n"), "dmer").limit(100)
+
+
+def delta_filter_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = _docs(spark, sf_dir).select("doc_id", filters.filtered(F.col("content"), "delta", True, 4).alias("b"))
+    return there.select("doc_id", F.md5(filters.filtered(F.col("b"), "delta", False, 4)).alias("md5"))
+
+
+def zlib_header_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts would pass for zlib by their first two bytes."""
+    head = F.conv(F.hex(F.substring("content", 1, 2)), 16, 10).cast("long")
+    docs = _docs(spark, sf_dir).withColumn("head", head).where(F.octet_length("content") >= 2)
+    cmf = F.shiftright("head", 8)
+    return docs.select("doc_id", "head", ((F.col("head") % 31 == 0) & (cmf.bitwiseAND(15) == 8) & (F.shiftright(cmf, 4) <= 7)).alias("is_zlib"))
+
+
+def bgzf_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of 65,280 bytes over each source's texts joined in order of doc_id: where each begins."""
+    joined = _docs(spark, sf_dir).groupBy("source").agg(F.sum(F.octet_length("content")).alias("n"))
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunked.BGZF_INPUT))).alias("seq")
+    rows = joined.where("n > 0").select("source", "n", at)
+    return rows.select("source", "seq", (F.col("seq") * chunked.BGZF_INPUT).alias("out_offset"), F.least(F.col("n") - F.col("seq") * chunked.BGZF_INPUT, F.lit(chunked.BGZF_INPUT)).alias("n_bytes"))
+
+
+def seek_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For offsets of orders into a stream of line items, the line item's unit that holds each."""
+    points = pick(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_orderkey").select(F.col("l_suppkey").cast("string").alias("path"), (F.col("l_orderkey") * 100).cast("long").alias("out_offset")).distinct()
+    asked = pick(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey").select((F.col("o_custkey") % 100).cast("string").alias("path"), (F.col("o_orderkey") * 100 + 50).cast("long").alias("offset"))
+    return chunked.find(points, asked).where("out_offset is not null").select("path", "offset", "out_offset")
+
+
+def parallel_gzip_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = chunked.parallel_gzip(analysis.objects(table(spark, sf_dir, "documents")), size=4096)
+    return packed.select(F.col("path").cast("long").alias("doc_id"), F.md5(codecs.decompress(F.col("content"), "gzip")).alias("md5"))
+
+
+def zstd_seekable_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = chunked.zstd_seekable(analysis.objects(table(spark, sf_dir, "documents")), frame=4096)
+    return packed.select(F.col("path").cast("long").alias("doc_id"), F.md5(codecs.decompress(F.col("content"), "zstd")).alias("md5"))
+
+
+def size_report_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = _docs(spark, sf_dir).select("lang", "source", F.octet_length("content").alias("n_in"), F.octet_length(codecs.compress(F.col("content"), "gzip")).alias("n_out"))
+    return analysis.size_report(sizes, "lang", "source")
+
+
+def match_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.match_distances(_docs(spark, sf_dir), "content", "doc_id").withColumn("mean_distance", F.round("mean_distance", 6))
+
+
+def queries() -> dict[str, _Query]:
+    found: dict[str, _Query] = {
+        "crc32_documents": _checksum(C.crc32, "crc32"),
+        "adler32_documents": _checksum(C.adler32, "adler32"),
+        "crc32c_documents": _checksum(C.crc32c, "crc32c"),
+        "masked_crc32c_documents": _checksum(lambda c: C.masked(C.crc32c(c)), "masked"),
+        "crc32_bzip2_documents": _checksum(C.crc32_bzip2, "crc32_bzip2"),
+        "crc64_xz_documents": _checksum(C.crc64_xz, "crc64_xz"),
+        "xxh32_documents": _checksum(C.xxh32, "xxh32"),
+        "xxh64_documents": _checksum(C.xxh64, "xxh64"),
+        "sha256_documents": _checksum(lambda c: F.sha2(c, 256), "sha256"),
+        "adler32_combine_by_lang": _merged(C.adler32_merge, C.adler32, "lang", "adler32"),
+        "crc32_combine_by_source": _merged(C.crc32_merge, C.crc32, "source", "crc32"),
+    }
+    found |= {f"roundtrip_{c}": _roundtrip(c) for c in CODECS}
+    found |= {f"units_{c}": _units(c, c) for c in ("gzip", "zstd", "xz")} | {"units_snappy": _units("snappy_stream", "snappy"), "units_lz4": _units("lz4", "lz4")}
+    for f in (bounds, byte_histogram, byte_entropy_by_lang, run_lengths, block_split_points, stored_vs_fixed_cost, dmer_coverage_top, delta_filter_roundtrip, zlib_header_classify, bgzf_layout, seek_find, parallel_gzip_roundtrip, zstd_seekable_roundtrip, size_report_rollup, match_distances):
+        found[f.__name__] = f
+    return found
+
 
-def crc32_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return docs.select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc32"))
+_BYTES = "b AS (SELECT doc_id, lang, source, encode(coalesce(text, '')) AS v, octet_length(encode(coalesce(text, ''))) AS n FROM documents), x AS (SELECT doc_id, lang, source, n, hex(v) AS h FROM b), e AS (SELECT doc_id, lang, source, n, unnest(range(n)) AS pos, unnest(regexp_extract_all(h, '..')) AS pair FROM x), y AS (SELECT doc_id, lang, source, n, pos, ('0x' || pair)::INTEGER AS byte FROM e)"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"crc32_documents": crc32_documents}
+def _crc_sql(poly: int, name: str, outer: str = "{}") -> str:
+    listed = ", ".join(map(str, C.crc_table(poly)))
+    fold = f"list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda i: ('0x' || i)::BIGINT)), lambda c, d: xor(c >> 8, ([{listed}])[1 + (xor(c, d) & 255)]::BIGINT))"
+    return f"WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents), r AS (SELECT doc_id, xor({fold}, 4294967295) AS c FROM x) SELECT doc_id, {outer.format('c')} AS {name} FROM r"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    md5 = "SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents"
+    one_unit = "SELECT doc_id, 1::BIGINT AS n_units, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents"
+    n = "octet_length(encode(coalesce(text, '')))::BIGINT"
+    deflate = "n + 5 * (n // 5000 + n // 65535 + 2) + 8"
+    found = {
+        "adler32_documents": f"WITH {_BYTES}, s AS (SELECT doc_id, (1 + sum(byte)) % 65521 AS a, (any_value(n) + sum((n - pos) * byte)) % 65521 AS b FROM y GROUP BY doc_id) SELECT b.doc_id, CAST(coalesce(s.b * 65536 + s.a, 1) AS BIGINT) AS adler32 FROM b LEFT JOIN s USING (doc_id)",
+        "crc32c_documents": _crc_sql(C.CRC32C, "crc32c"),
+        "crc32_documents": _crc_sql(C.CRC32, "crc32"),
+        "masked_crc32c_documents": _crc_sql(C.CRC32C, "masked", "(((({0} >> 15) | ({0} << 17)) & 4294967295) + 2726488792) % 4294967296"),
+        "sha256_documents": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents",
+        "adler32_combine_by_lang": "WITH d AS (SELECT doc_id, lang, encode(coalesce(text, '')) AS v, octet_length(encode(coalesce(text, ''))) AS n FROM documents), o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY lang ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS behind, hex(v) AS h FROM d), e AS (SELECT lang, n, behind, unnest(regexp_extract_all(h, '..')) AS pair, unnest(range(n)) AS pos FROM o), y AS (SELECT lang, ('0x' || pair)::INTEGER AS byte, n - pos + behind AS weight FROM e), t AS (SELECT lang, sum(n) AS n FROM d GROUP BY lang), s AS (SELECT lang, sum(byte) AS a, sum(byte * weight) AS b FROM y GROUP BY lang) SELECT lang, CAST((t.n + s.b) % 65521 * 65536 + (1 + s.a) % 65521 AS BIGINT) AS adler32, CAST(t.n AS BIGINT) AS n_bytes FROM t JOIN s USING (lang)",
+        "bounds": f"WITH d AS (SELECT doc_id, {n} AS n FROM documents) SELECT doc_id, {deflate} + 18 AS gzip, {deflate} + 6 AS zlib, {deflate} AS raw, 19 + n + (n + 4194303) // 4194304 * 4 + 8 AS lz4, n + n // 255 + 16 AS lz4_block, n + (n >> 8) + CASE WHEN n < 131072 THEN (131072 - n) >> 11 ELSE 0 END AS zstd, 32 + n + n // 6 AS snappy, CASE WHEN n = 0 THEN 2 ELSE n + 2 + 4 * (n >> 14) + 4 END AS brotli FROM d",
+        "byte_histogram": f"WITH {_BYTES} SELECT byte::BIGINT AS byte, count(*) AS n FROM y GROUP BY byte",
+        "byte_entropy_by_lang": f"WITH {_BYTES}, c AS (SELECT lang, byte, count(*) AS n FROM y GROUP BY lang, byte) SELECT lang, CAST(sum(n) AS BIGINT) AS n_bytes, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS bits FROM c GROUP BY lang",
+        "run_lengths": f"WITH {_BYTES}, i AS (SELECT doc_id, pos, byte, pos - row_number() OVER (PARTITION BY doc_id, byte ORDER BY pos) AS island FROM y) SELECT doc_id, min(pos) AS start, count(*) AS length, byte::BIGINT AS byte FROM i GROUP BY doc_id, byte, island HAVING count(*) >= 3",
+        "block_split_points": f"WITH {_BYTES}, c AS (SELECT doc_id, pos // 512 AS block, byte, count(*) AS n FROM y GROUP BY ALL), l AS (SELECT doc_id, max(block) AS last FROM c GROUP BY doc_id), u AS (SELECT doc_id, block, byte, n FROM c UNION ALL SELECT doc_id, block + 1, byte, -n FROM c), d AS (SELECT doc_id, block, byte, sum(n) AS d FROM u GROUP BY ALL) SELECT doc_id, block, CAST(sum(abs(d)) AS BIGINT) AS distance FROM d JOIN l USING (doc_id) WHERE block BETWEEN 1 AND last GROUP BY doc_id, block HAVING 512 * sum(abs(d)) >= 200 * 512",
+        "stored_vs_fixed_cost": f"WITH {_BYTES}, c AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN byte < 144 THEN 8 ELSE 9 END) AS bits FROM y GROUP BY doc_id), k AS (SELECT doc_id, CAST((n + 65534) // 65535 * 40 + 8 * n AS BIGINT) AS stored_bits, CAST(10 + bits AS BIGINT) AS fixed_bits FROM c) SELECT *, CASE WHEN stored_bits < fixed_bits THEN 'stored' ELSE 'fixed' END AS kind FROM k",
+        "dmer_coverage_top": "WITH x AS (SELECT hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents), p AS (SELECT h, unnest(range(n - 7)) AS i FROM x WHERE n >= 8) SELECT substr(h, 2 * i + 1, 16) AS dmer, count(*) AS n FROM p GROUP BY 1 ORDER BY n DESC, dmer LIMIT 100",
+        "delta_filter_roundtrip": md5,
+        "parallel_gzip_roundtrip": md5,
+        "zstd_seekable_roundtrip": md5,
+        "zlib_header_classify": "WITH h AS (SELECT doc_id, ('0x' || substr(hex(encode(text)), 1, 4))::BIGINT AS head FROM documents WHERE octet_length(encode(text)) >= 2) SELECT doc_id, head, head % 31 = 0 AND (head >> 8) & 15 = 8 AND (head >> 12) <= 7 AS is_zlib FROM h",
+        "bgzf_layout": f"WITH s AS (SELECT source, sum({n})::BIGINT AS n FROM documents GROUP BY source), q AS (SELECT source, n, unnest(range((n - 1) // 65280 + 1)) AS seq FROM s WHERE n > 0) SELECT source, seq, seq * 65280 AS out_offset, least(n - seq * 65280, 65280) AS n_bytes FROM q",
+        "seek_find": "WITH p AS (SELECT DISTINCT l_suppkey::VARCHAR AS path, (l_orderkey * 100)::BIGINT AS out_offset FROM lineitem), a AS (SELECT (o_custkey % 100)::VARCHAR AS path, (o_orderkey * 100 + 50)::BIGINT AS q FROM orders) SELECT a.path, a.q AS \"offset\", p.out_offset FROM a ASOF JOIN p ON a.path = p.path AND a.q >= p.out_offset",
+        "units_gzip": one_unit,
+        "units_snappy": f"SELECT doc_id, CAST(({n} + 65535) // 65536 AS BIGINT) AS n_units, {n} AS n_bytes FROM documents WHERE {n} > 0",
+        "units_zstd": one_unit,
+        "units_xz": f"{one_unit} WHERE {n} > 0",
+        "match_distances": f"WITH {_BYTES}, g AS (SELECT doc_id, pos, byte + lead(byte, 1) OVER w * 256 + lead(byte, 2) OVER w * 65536 + (lead(byte, 3) OVER w)::BIGINT * 16777216 AS gram FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), k AS (SELECT doc_id, pos - lag(pos) OVER (PARTITION BY doc_id, gram ORDER BY pos) AS gap FROM g WHERE gram IS NOT NULL) SELECT doc_id, count(*) AS n_positions, count(*) FILTER (gap <= 32768) AS n_matched, round(avg(gap) FILTER (gap <= 32768), 6) AS mean_distance FROM k GROUP BY doc_id",
+    }
+    for c in CODECS:
+        found[f"roundtrip_{c}"] = f"SELECT doc_id, {n} AS n_bytes, md5(coalesce(text, '')) AS md5 FROM documents"
+    return found
