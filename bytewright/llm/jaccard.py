@@ -1,15 +1,16 @@
 """N-gram Jaccard join with several global orders.
 
-Documents with the same shingle set are one node. Two sets with Jaccard similarity t or more share at least m tokens
-among the first |x| - ceil(t |x|) + m of both under any global order of tokens; ``m`` is 1 + ``MORE`` of the smaller
-set's size. The first order puts frequent tokens last (those of ``FREQUENT`` of all documents or more, by count) and
+Documents with the same shingle set are one node. Of a set x the first |x| - ceil(t |x|) + m tokens under a global order
+are its prefix, m being 1 + ``MORE`` of its size. Sets of Jaccard similarity t or more have at least t / (1 + t) of both
+sizes together in common, and of these all but the larger of both rests lie in both prefixes, under any order. The first order puts frequent tokens last (those of ``FREQUENT`` of all documents or more, by count) and
 others by hash; the further orders are other permutations of the hash. Tokens shared under the first order come from
-one shuffle of these prefixes; tokens that one node alone holds end there. A candidate pair must then share m tokens
-under each further order, too, before its intersection is counted.
+one shuffle of these prefixes; tokens that one node alone holds end there. A candidate pair must share as many
+tokens, and under each further order, too, before its intersection is counted.
 
-No pairs are formed inside groups of copies: first each node is verified with the one node that begins most of its
-token lists; the components of these links stand for groups, and all candidate pairs between nodes of different
-components follow, with the full filter. Every pair of linked documents thus ends up in one component.
+No pairs are formed inside groups of copies. Each token list has a lead, of the largest component in it the node with the
+largest part of its prefix shared (the text that others were copied from); each node is verified with the lead that
+most of its lists of other components have, ``ROUNDS`` times. What then still lies in different components of one list
+follows as pairs, all of them, with the full filter. Every pair of linked documents thus ends up in one component.
 
 The list of frequent tokens goes to every task: at most (mean set size) / ``FREQUENT`` tokens can be in it. Hashes
 have 64 bits: texts are not compared behind them.
@@ -35,7 +36,7 @@ from bytewright.plans.scratch import forget, materialize
 from bytewright.sources.tables import table
 
 NAME = "op5_jaccard"
-SIZE, PERCENT, MORE, ORDERS, FREQUENT = 5, 75, 0.02, 3, 0.001
+SIZE, PERCENT, MORE, ORDERS, FREQUENT, ROUNDS = 5, 75, 0.02, 3, 0.001, 2
 BROADCAST_ROWS = 500_000  # ids, 8 bytes each; more of them are joined by a shuffle
 _BLOCK = 4_000_000  # hashes that are counted together
 
@@ -89,6 +90,12 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + int(least_shared(n))
 
 
+def needed(n: int, m: int, percent: int) -> int:
+    """How many tokens the prefixes of two similar sets of these sizes share at least."""
+    rest = max(n - min(n, prefix_length(n, percent)), m - min(m, prefix_length(m, percent)))
+    return max(1, -(-percent * (n + m) // (100 + percent)) - rest)
+
+
 def prefix(s: np.ndarray, often: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
     """The first tokens of a sorted set under the first order. ``often``: frequent tokens, sorted; ``rank``: their counts."""
     p = min(len(s), prefix_length(len(s), percent))
@@ -157,7 +164,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int, orders: int) -> bool:
     """Of two sorted sets: the further orders' filters, then the intersection."""
-    least = int(least_shared(min(len(a), len(b))))
+    least = needed(len(a), len(b), percent)
     for turn in range(1, orders):
         heads = []
         for s in (a, b):
@@ -213,17 +220,33 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE
     shared = materialize(_shared(rows.repartition(parts, "token").sortWithinPartitions("token", "node")), "jaccard-tokens")
     del rows
     forget(spark)
-    led = shared.where("node != lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("count"), F.first("n").alias("n"))
-    led = led.where(F.col("count") >= 1 + F.floor(F.col("n") * MORE)).groupBy("node").agg(F.max(F.struct("count", "lead")).alias("best"))
-    links = _verified(led.select(F.col("node").alias("a"), F.col("best.lead").alias("b")), docs, members, percent, orders, size)
-    groups = materialize(components(links), "jaccard-groups")
-    held = shared.select("token", "node", "n").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_ = held.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
-    open_ = materialize(held.join(mixed_, "token", "left_semi"), "jaccard-open")
+    hubs = shared.groupBy("node").agg((1000 * F.count(F.lit(1)) / (1 + F.first("n"))).cast("int").alias("hub"))
+    held = materialize(shared.select("token", "node", "n").join(hubs, "node").withColumn("component", F.col("node")), "jaccard-held")
+    del shared
+    rest = lambda n: F.ceil(percent * F.col(n) / 100) - 1 - F.floor(F.col(n) * MORE)
+    least = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent)) - F.greatest(rest("n_a"), rest("n_b"))
+    links = None
+    for _ in range(ROUNDS):
+        sizes = held.select("node", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        ranked = held.join(sizes, "component") if links is not None else held.withColumn("size", F.lit(1).cast("long"))
+        leads = ranked.groupBy("token").agg(F.max(F.struct("size", "hub", "node", "n", "component")).alias("lead"))
+        led = held.join(leads, "token").where(f"component != lead.component and 100 * n >= {percent} * lead.n and 100 * lead.n >= {percent} * n")
+        led = led.groupBy("node", F.col("lead.node").alias("b")).agg(F.count(F.lit(1)).alias("count"), F.first("n").alias("n_a"), F.first("lead.n").alias("n_b"))
+        led = led.where(F.col("count") >= least / 2).groupBy("node").agg(F.max(F.struct("count", "b")).alias("best"))
+        new = _verified(materialize(led.select(F.col("node").alias("a"), F.col("best.b").alias("b")), "jaccard-led"), docs, members, percent, orders, size)
+        links = new if links is None else links.union(new)
+        groups = materialize(components(links), "jaccard-groups")
+        held = held.drop("component").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed_ = held.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
+        held = materialize(held.join(mixed_, "token", "left_semi"), "jaccard-held")
+        forget(spark)
+        if not new.take(1):
+            break
+    open_ = held.select("token", "node", "n", "component")
     x, y = open_.toDF("token", "a", "n_a", "c_a"), open_.toDF("token", "b", "n_b", "c_b")
     pairs = x.join(y, "token").where(f"a < b and c_a != c_b and 100 * n_a >= {percent} * n_b and 100 * n_b >= {percent} * n_a")
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.least(F.first("n_a"), F.first("n_b")).alias("least"))
-    pairs = materialize(pairs.where(F.col("shared") >= 1 + F.floor(F.col("least") * MORE)).select("a", "b"), "jaccard-pairs")
+    pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = materialize(pairs.where(F.col("shared") >= least).where("shared >= 1").select("a", "b"), "jaccard-pairs")
     forget(spark)
     if pairs.take(1):
         links = links.union(_verified(pairs, docs, members, percent, orders, size))
