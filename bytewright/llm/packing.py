@@ -73,14 +73,13 @@ class Ids:
 
     def _learn(self, new: set[str]) -> None:
         known = self.words
-        stems = {w[:-1] for w in new if w[-1] in ".,!" and w[:-1].isalpha()}
-        marks = {w[-1] for w in new if w[:-1] in stems}
-        letters = [w for w in ({w for w in new if w.isalpha()} | stems) if w not in known]
+        marked = {w for w in new if w[-1] in ".,!" and w[:-1].isalpha()}
+        letters = [w for w in {w for w in new if w.isalpha()} | {w[:-1] for w in marked} if w not in known]
         for at in range(0, len(letters), 5_000):
             known.update(zip(letters[at : at + 5_000], self._encode_letters(letters[at : at + 5_000]), strict=True))
-        rest = [w for w in (new | marks) if w not in known and w[:-1] not in stems]
+        rest = [w for w in (new - marked) | {w[-1] for w in marked} if w not in known]
         known.update(zip(rest, self._encode(rest), strict=True))
-        known.update((w, known[w[:-1]] + known[w[-1]]) for w in new if w[:-1] in stems)
+        known.update((w, known[w[:-1]] + known[w[-1]]) for w in marked)
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         known = self.words
