@@ -11,7 +11,8 @@ n = 1. With ``BANDS`` bands of one row each, such a window shares no band with a
 (1 - 0.166) ** 128 < 1e-10.
 
 A window without any template's shingle can share no band, so signatures are computed just for windows that hold
-one; this loses nothing. It happens inside a document's row: no text is shuffled, just the windows' bands are joined.
+one; this loses nothing. It happens inside a document's row: no text is shuffled. The templates' bands are broadcast
+where they are no more than ``BROADCAST_ROWS``.
 
 Defined cases: null and empty texts hold no license; repeated rows and equal doc_ids are reported together, once for
 each license; empty tables give empty results; other columns are ignored; a template without words fits nothing.
@@ -30,6 +31,7 @@ from bytewright.sources.tables import table
 
 NAME = "op8_licenses"
 SHINGLE, THRESHOLD, BANDS = 5, 0.75, 128
+BROADCAST_ROWS = 200_000  # bands of templates; more are joined by a shuffle
 #: The templates of the registered query: name and text.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -89,6 +91,8 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     signature = lambda held: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.array_min(F.transform(held, lambda s: F.xxhash64(s, b))).alias("least")))
     sets = spark.createDataFrame([(name, 1 << (len(s) - 1).bit_length(), s) for name, s in known], "license string, class int, template array<string>")
     keys = sets.select("license", "class", "template", F.explode(signature(F.col("template"))).alias("key"))
+    if len(known) * bands <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
     pairs = rows.select("doc_id", "class", "held", F.explode(signature(F.col("held"))).alias("key")).join(keys, ["class", "key"])
     pairs = pairs.groupBy("doc_id", "license", "class", "held", "template").agg(F.count(F.lit(1)).alias("shared"))
     share = F.size(F.array_intersect("template", "held")) / F.size("template")
