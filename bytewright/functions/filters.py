@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import lzma
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -51,9 +53,22 @@ def branch(data: bytes, kind: str, encode: bool, start: int = 0) -> bytes:
     return out.astype(">u4" if kind in ("powerpc", "sparc") else "<u4").tobytes() + data[n:]
 
 
+def branch_by_library(data: bytes, kind: str, encode: bool) -> bytes:
+    """``x86``, ``ia64`` and ``armthumb`` by liblzma: through LZMA2 with the filter on one side only."""
+    own = {"x86": lzma.FILTER_X86, "ia64": lzma.FILTER_IA64, "armthumb": lzma.FILTER_ARMTHUMB}[kind]
+    plain, both = [{"id": lzma.FILTER_LZMA2, "preset": 0}], [{"id": own}, {"id": lzma.FILTER_LZMA2, "preset": 0}]
+    first, second = (both, plain) if encode else (plain, both)
+    return lzma.decompress(lzma.compress(data, lzma.FORMAT_RAW, filters=first), lzma.FORMAT_RAW, filters=second)
+
+
 def filtered(data: Column, kind: str, encode: bool, distance: int = 1) -> Column:
     @pandas_udf("binary")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else delta(bytes(v), distance, encode) if kind == "delta" else branch(bytes(v), kind, encode))
+        def one(v: bytes) -> bytes:
+            if kind == "delta":
+                return delta(v, distance, encode)
+            return (branch_by_library if kind in ("x86", "ia64", "armthumb") else branch)(v, kind, encode)
+
+        return values.map(lambda v: None if v is None else one(bytes(v)))
 
     return run(data)
