@@ -136,6 +136,40 @@ def test_licenses(spark):
     assert [r.license for r in got] == ["long"] and 0.75 <= got[0].containment < 1
 
 
+def test_license_catalog(spark, monkeypatch):
+    t = {}
+    for name, text, *_ in licenses.TEMPLATES:
+        t[name] = max(t.get(name, ""), text, key=len)
+    gpl = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    cases = [
+        ("MIT License\n\nCopyright (c) 2020 X\n\n" + t["MIT"], {"MIT"}),
+        ("# " + "\n# ".join(next(x[1] for x in licenses.TEMPLATES if x[1].startswith("Licensed under the Apache License, Version 2.0 (")).split(" the ")).replace("\n#", " the\n#"), {"Apache-2.0"}),
+        (t["BSD-2-Clause"], {"BSD-2-Clause"}),
+        (t["BSD-3-Clause"].replace("the copyright holder nor", "the University nor"), {"BSD-3-Clause"}),
+        (t["ISC"], {"ISC"}),
+        (t["0BSD"], {"0BSD"}),
+        (gpl.format(":", "", ",", "3"), {"GPL-3.0"}),
+        (gpl.format(";", "", ";", "2"), {"GPL-2.0"}),
+        (gpl.format(";", "Lesser ", ",", "3"), {"LGPL-3.0"}),
+        (gpl.format(";", "Affero ", ",", "3"), {"AGPL-3.0"}),
+        ("// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at http://mozilla.org/MPL/2.0/.", {"MPL-2.0"}),
+        ("Released under the MIT License, see there", {"MIT"}),
+        ("(licensed under the MIT license)", {"MIT"}),
+        ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", {"CC-BY-NC-4.0"}),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */\n" + words(9), {"GPL-2.0", "BSD-3-Clause"}),
+        ("SPDX-License-Identifier: EUPL-1.2\n", {"EUPL-1.2"}),
+        (" ".join(t["GPL-3.0"].split()[900:]), {"GPL-3.0"}),
+        (words(500) + "the terms of the license and -- the " + "-" * 5000 + words(5), set()),
+    ]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)] + [(99, None)], DOCS)
+    monkeypatch.setattr(licenses, "table", lambda *_: df)
+    got = defaultdict(set)
+    for r in licenses.query(spark, "").collect():
+        got[r.doc_id].add(r.license)
+    assert {i: got[i] for i in range(len(cases))} == {i: names for i, (_, names) in enumerate(cases)} and 99 not in got
+
+
 # --- near duplicates
 
 
