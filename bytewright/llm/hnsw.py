@@ -2,8 +2,9 @@
 
 Equal vectors are one node with a count. Nodes go to shards by a hash; each shard has a graph of its own, and every node
 queries every shard. A query's beam starts at ``BEAM`` and doubles, for all queries of a task, until an audit passes:
-of the links that brute force over the shard finds for up to ``AUDIT`` queries with links and as many others, a share of
-``RECALL`` at least must be among those found. A query whose whole beam reaches the threshold widens on its own, and
+brute force over the shard takes queries at random until ``AUDIT`` of them have links to others than themselves, or all
+are taken; of these links, and of each such query's on average, a share of ``RECALL`` at least must be among those found.
+The rarer links are, the more queries are audited, up to all of a task. A query whose whole beam reaches the threshold widens on its own, and
 where a beam wider than ``WIDEST``, or than a quarter of the shard, is called for, the query is compared with all of
 the shard instead, so no number of partners is too large. All candidates are
 verified by cosine in double precision.
@@ -34,7 +35,7 @@ from bytewright.plans.scratch import materialize
 from bytewright.sources.tables import table
 
 NAME = "op1_hnsw"
-THRESHOLD, DEGREE, BUILD_BEAM, BEAM, AUDIT = 0.9, 12, 32, 32, 32
+THRESHOLD, DEGREE, BUILD_BEAM, BEAM, AUDIT = 0.9, 12, 32, 32, 400
 RECALL, WIDEST = 0.99, 128
 SHARD_ROWS, BLOCK_ROWS, LOCKSTEP = 50_000, 50_000, 512
 
@@ -198,17 +199,30 @@ def partners(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, threshold:
     return np.concatenate(found_q), np.concatenate(found_x)
 
 
-def audited(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, threshold: float, beam: int = BEAM, audit: int = AUDIT) -> tuple[np.ndarray, np.ndarray]:
-    """``partners`` with the beam doubled until the audit passes."""
+def audited(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, threshold: float, beam: int = BEAM, audit: int = AUDIT, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``partners`` but for ``own``, each query's own node (-1: none), with the beam doubled until the audit passes."""
+    own = np.full(len(q), -1) if own is None else own
+
+    def others(who: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        other = own[who] != what
+        return who[other], what[other]
+
+    if beam > WIDEST or 4 * beam >= len(x):
+        return others(*partners(x, layers, q, threshold, beam))
+    order = np.random.default_rng(0).permutation(len(q))
+    true, at = np.zeros(len(q), np.int64), 0
+    while at < len(order) and np.count_nonzero(true) < audit:
+        some = order[at : at + LOCKSTEP]
+        near = q[some] @ x.T >= threshold + 1e-5
+        held = own[some] >= 0
+        near[np.flatnonzero(held), own[some[held]]] = False
+        true[some] = near.sum(1)
+        at += len(some)
+    linked = np.flatnonzero(true)
     while True:
-        who, what = partners(x, layers, q, threshold, beam)
-        if beam > WIDEST or 4 * beam >= len(x):
-            return who, what
-        linked = np.unique(who)
-        other = np.setdiff1d(np.arange(len(q)), linked)
-        some = np.concatenate([s[np.linspace(0, len(s) - 1, min(len(s), audit)).astype(int)] if len(s) else s for s in (linked, other)])
-        true = (q[some] @ x.T >= threshold + 1e-5).sum(1)
-        if np.minimum(np.bincount(who, minlength=len(q))[some], true).sum() >= RECALL * true.sum():
+        who, what = others(*partners(x, layers, q, threshold, beam))
+        got = np.minimum(np.bincount(who, minlength=len(q))[linked], true[linked])
+        if beam > WIDEST or 4 * beam >= len(x) or (got.sum() >= RECALL * true.sum() and (got / true[linked]).sum() >= RECALL * len(linked)):
             return who, what
         beam *= 2
 
@@ -233,9 +247,9 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, shard_rows: i
     def search(index: dict[str, np.ndarray], asked: pd.DataFrame, shard: int) -> pd.DataFrame:
         layers = [index[f"layer{i}"] for i in range(len(index) - 3)]
         ids, q_ids, x, q = index["ids"], asked["id"].to_numpy(), index["x"], unit(matrix(asked["v"]))
-        who, what = audited(x.astype(np.float32), layers, q.astype(np.float32), threshold)
-        other = q_ids[who] != ids[what]
-        who, what = who[other], what[other]
+        at = np.minimum(np.searchsorted(ids, q_ids), len(ids) - 1)  # a shard's ids are in order
+        own = np.where(ids[at] == q_ids, at, -1)
+        who, what = audited(x.astype(np.float32), layers, q.astype(np.float32), threshold, own=own)
         exact = np.concatenate([np.zeros(0, bool)] + [(q[who[a : a + 65536]] * x[what[a : a + 65536]]).sum(1) >= threshold for a in range(0, len(who), 65536)])
         who, what = who[exact], what[exact]
         reach = np.bincount(who, index["copies"][what], len(q)).astype(np.int64)

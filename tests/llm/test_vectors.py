@@ -59,6 +59,45 @@ def test_graph_recall_without_brute_force():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found.tolist(), true.tolist())]) > 0.95
 
 
+def _pairs(n, seed=5, dim=24):
+    """Rows of which three in ten have one partner and the others none."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    k = n * 15 // 100
+    x[-k:] = x[:k] + rng.normal(size=(k, dim)) * 0.2
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("lost", [0.2, 0.5])
+def test_audit_sees_missed_links(monkeypatch, lost):
+    x = _pairs(3000)
+    own, plain = np.arange(len(x)), hnsw.partners
+    beams = []
+
+    def lossy(x, layers, q, threshold, beam):
+        beams.append(beam)
+        who, what = np.nonzero(q @ x.T >= threshold - 1e-5)
+        kept = (who == what) | (np.random.default_rng(1).random(len(who)) >= lost)
+        return (who[kept], what[kept]) if beam == hnsw.BEAM else plain(x, layers, q, threshold, beam)
+
+    monkeypatch.setattr(hnsw, "partners", lossy)
+    who, what = hnsw.audited(x, hnsw.build_graph(x), x, 0.9, own=own)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert near.sum() > 500 and (who != what).all() and len(who) >= 0.99 * near.sum() and len(beams) > 1
+
+
+def test_near_duplicates_by_the_graph(spark):
+    x = _pairs(6000)
+    _, nodes = hnsw.near_duplicates(spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, v array<double>"))
+    got = np.zeros(len(x), int)
+    for r in nodes.collect():
+        got[r.node] = r.linked
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert 6000 / 12 > 4 * hnsw.BEAM and got.sum() >= 0.99 * near.sum() and (got <= near.sum(1)).all()
+
+
 @pytest.mark.parametrize("factor,least", [(1.0, 1.0), (vptree.FACTOR, 0.9)])
 def test_neighbours(spark, factor, least):
     x = _vectors(700, 3)
