@@ -1,32 +1,41 @@
-"""N-gram Jaccard join with several global orders.
+"""N-gram Jaccard join: candidates share prefix tokens under several global orders of the tokens, and these filters are
+intersected before any text is read.
 
-Documents with the same shingle set are one node. Of a set x the first |x| - ceil(t |x|) + m tokens under a global order
-are its prefix, m being 1 + ``MORE`` of its size. Sets of Jaccard similarity t or more have at least t / (1 + t) of both
-sizes together in common, and of these all but the larger of both rests lie in both prefixes, under any order. The first order puts frequent tokens last (those of ``FREQUENT`` of all documents or more, by count) and
-others by hash; the further orders are other permutations of the hash. Tokens shared under the first order come from
-one shuffle of these prefixes; tokens that one node alone holds end there. A candidate pair must share as many
-tokens, and under each further order, too, before its intersection is counted.
+Documents with the same shingle set are one node. For sets of n and v tokens with a Jaccard similarity of t or more, the
+intersection has at least a = ceil(t (n + v) / (1 + t)) tokens, and under any one order the first n - a + m and v - a + m
+tokens of both have m in common, for any m up to a. m is 1 + one fiftieth of the smaller set.
 
-No pairs are formed inside groups of copies. Each token list has a lead, of the largest component in it the node with the
-largest part of its prefix shared (the text that others were copied from); each node is verified with the lead that
-most of its lists of other components have, ``ROUNDS`` times. What then still lies in different components of one list
-follows as pairs, all of them, with the full filter. Every pair of linked documents thus ends up in one component.
+First order: rare tokens before frequent ones (by count; of ``FREQUENT`` of a block's sets at least). Prefixes are shuffled by
+token with the tokens' places; tokens of one node alone end there. Further orders: permutations of the hash. Each node's
+prefixes under these are kept with it, and a candidate pair must share enough of them, too. Only then texts are fetched, and the
+intersection counted.
 
-The list of frequent tokens goes to every task: at most (mean set size) / ``FREQUENT`` tokens can be in it. Hashes
-have 64 bits: texts are not compared behind them.
+No pairs are formed inside groups of copies. The node with the fewest rarer tokens before a shared one leads the token's
+list (the text that others were copied from); every node is verified with the one that leads most of its lists. Lists whose nodes
+lie in one component then are done. In the others, pairs are formed between different components only, of nodes whose sizes and
+places in the list allow it; where these would be many, up to ``ROUNDS`` more leads at random contract the lists first. The
+pairs' number is not bounded beyond that: they all are compared.
+
+Frequent tokens are counted by blocks of about ``BLOCK`` hashes; nothing but the order, and how tokens are dealt to tasks,
+depends on that. At most (mean set size) / ``FREQUENT`` tokens go to every task. A token with more than ``SPLIT`` sets is dealt out
+to several lists, whose leads meet in one more.
+
+A word's hash is keyed, with 64 bits, and so has a shingle; sets are told by 128 bits, where the first 64 of two different sets
+agree by their others. Intersections are counted on shingles' hashes.
 
 Defined cases: documents without words have no shingles and are linked with nothing; a null doc_id is in no one's
-component id; repeated rows and doc_ids are rows of their own; empty tables give empty results; other columns are
-ignored; texts are read whole.
+component id, but its text links others, and its row gets the id of its component, if it has any; repeated rows and doc_ids
+are rows of their own; empty tables give empty results; other columns are ignored; texts are read whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytewright.llm.components import components
@@ -36,9 +45,11 @@ from bytewright.plans.scratch import forget, materialize
 from bytewright.sources.tables import table
 
 NAME = "op5_jaccard"
-SIZE, PERCENT, MORE, ORDERS, FREQUENT, ROUNDS = 5, 75, 0.02, 3, 0.001, 2
-BROADCAST_ROWS = 500_000  # ids, 8 bytes each; more of them are joined by a shuffle
-_BLOCK = 4_000_000  # hashes that are counted together
+SIZE, PERCENT, ORDERS, FREQUENT, ROUNDS = 5, 75, 3, 0.001, 3
+SPLIT = 20_000  # sets of a token in one list
+BROADCAST_ROWS = 500_000  # of two numbers, 16 bytes each; more of them are joined by a shuffle
+BLOCK, SEEN = 2_000_000, 100_000  # hashes and sets that are counted together
+_STEP = math.log(1.05)  # sizes within a twentieth share a class
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -47,9 +58,44 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def sets_of(docs: DataFrame, size: int = SIZE, frequent: float = FREQUENT) -> DataFrame:
-    """Rows (kind, doc_id, node, n): kind 0 for documents, n being the set's size; kind 1 for tokens that are frequent
-    somewhere, node being the token and n a count."""
+def _batch(names: list[str], *columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names)
+
+
+def least_shared(n: int) -> int:
+    return 1 + n // 50
+
+
+def prefix_length(n: int, percent: int) -> int:
+    return min(n, n - (percent * n + 99) // 100 + least_shared(n))
+
+
+def overlap(n: int, v: int, percent: int) -> int:
+    """The least intersection of two similar sets."""
+    return -(-percent * (n + v) // (100 + percent))
+
+
+def heads_of(s: np.ndarray, percent: int, orders: int) -> bytes:
+    """A set's prefixes under the further orders, each token by the upper half of its place there."""
+    p = prefix_length(len(s), percent)
+    heads = []
+    for turn in range(1, orders):
+        m = mixed(s, turn)
+        heads.append(np.sort(np.partition(m, p - 1)[:p] >> np.uint64(32)).astype("<u4"))
+    return b"".join(h.tobytes() for h in heads)
+
+
+def heads_allow(x: bytes, n: int, y: bytes, v: int, percent: int, orders: int) -> bool:
+    """Whether sets of n and v tokens share as many prefix tokens as similar ones do, under every further order."""
+    a, b = np.frombuffer(x, "<u4").reshape(orders - 1, -1), np.frombuffer(y, "<u4").reshape(orders - 1, -1)
+    least = max(1, overlap(n, v, percent) - max(n - a.shape[1], v - b.shape[1]))
+    return all(np.isin(p, q).sum() >= least for p, q in zip(a, b, strict=True))
+
+
+def sets_of(docs: DataFrame, size: int, percent: int, orders: int, frequent: float, tell: Callable[[np.ndarray], tuple[int, int]]) -> DataFrame:
+    """Rows of kind 0 for documents: doc_id, h (of the text), node, check, n (the set's size), and heads where the task
+    sees the set for the first time; of kind 1 for tokens that are frequent somewhere: node is the token, n a count."""
+    names = ["kind", "doc_id", "h", "node", "check", "n", "heads"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -58,204 +104,321 @@ def sets_of(docs: DataFrame, size: int = SIZE, frequent: float = FREQUENT) -> Da
 
         def counted() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(block), return_counts=True)
-            often = counts >= max(4, frequent * len(seen))
+            often = counts >= max(4, frequent * len(block))
             tokens, counts = tokens[often].view(np.int64), counts[often]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), pa.nulls(len(tokens), pa.int64()), pa.array(tokens), pa.array(counts, pa.int64())], ["kind", "doc_id", "node", "n"])
+            none = pa.nulls(len(tokens), pa.int64())
+            return _batch(names, pa.array(np.ones(len(tokens), np.int32)), none, none, pa.array(tokens), none, pa.array(counts, pa.int64()), pa.nulls(len(tokens), pa.binary()))
 
         for batch in _slices(batches):
-            nodes, sizes = [], []
-            for s in shingle_sets(batch.column("text"), size):
-                nodes.append(node_of(s))
-                sizes.append(len(s))
-                if nodes[-1] not in seen and len(s):
-                    seen.add(nodes[-1])
-                    block.append(s)
-                    held += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(nodes), np.int32)), batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], ["kind", "doc_id", "node", "n"])
-            if held > _BLOCK:
+            nodes, checks, sizes, heads = [], [], [], []
+            with np.errstate(over="ignore"):
+                for s in shingle_sets(batch.column("text"), size):
+                    node, check = tell(s)
+                    nodes.append(node)
+                    checks.append(check)
+                    sizes.append(len(s))
+                    heads.append(None)
+                    if len(s) and node not in seen:
+                        seen.add(node)
+                        block.append(s)
+                        held += len(s)
+                        heads[-1] = heads_of(s, percent, orders)
+            kinds = pa.array(np.zeros(len(nodes), np.int32))
+            yield _batch(names, kinds, batch.column("doc_id"), batch.column("h"), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.binary()))
+            if held > BLOCK or len(block) > SEEN:
                 yield counted()
                 seen.clear()
                 block, held = [], 0
         if block:
             yield counted()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, node long, n long")
-
-
-def least_shared(n: np.ndarray | int) -> np.ndarray | int:
-    return 1 + np.floor(MORE * np.asarray(n)).astype(np.int64)
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "kind int, doc_id long, h long, node long, check long, n long, heads binary")
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + int(least_shared(n))
-
-
-def needed(n: int, m: int, percent: int) -> int:
-    """How many tokens the prefixes of two similar sets of these sizes share at least."""
-    rest = max(n - min(n, prefix_length(n, percent)), m - min(m, prefix_length(m, percent)))
-    return max(1, -(-percent * (n + m) // (100 + percent)) - rest)
-
-
-def prefix(s: np.ndarray, often: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The first tokens of a sorted set under the first order. ``often``: frequent tokens, sorted; ``rank``: their counts."""
-    p = min(len(s), prefix_length(len(s), percent))
+def prefix(s: np.ndarray, often: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first tokens of a sorted set under the first order, and their counts (0: rare). ``often``: frequent tokens, sorted;
+    ``rank``: their counts."""
+    p = prefix_length(len(s), percent)
     if not len(often):
-        return s[:p]
+        return s[:p], np.zeros(p, np.int64)
     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
     common = often[at] == s
-    rare = s[~common]
-    if len(rare) >= p:
-        return rare[:p]
-    late = s[common]
-    return np.concatenate([rare, late[np.lexsort((late, rank[at[common]]))][: p - len(rare)]])
+    rare = s[~common][:p]
+    late, counts = s[common], rank[at[common]]
+    by = np.lexsort((late, counts))[: p - len(rare)]
+    return np.concatenate([rare, late[by]]), np.concatenate([np.zeros(len(rare), np.int64), counts[by]])
 
 
-def _prefixes(docs: DataFrame, often: np.ndarray, rank: np.ndarray, percent: int, size: int) -> DataFrame:
+def _prefixes(docs: DataFrame, often: np.ndarray, rank: np.ndarray, renamed: dict[tuple[int, int], int], percent: int, size: int, split: int, tell: Callable[[np.ndarray], tuple[int, int]]) -> DataFrame:
+    """(token, part, q, node, n, i): the i-th tokens of sets of n; q is i by n in thousandths, part the token's list."""
+    names = ["token", "part", "q", "node", "n", "i"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in _slices(batches):
-            tokens, nodes, sizes = [], [], []
-            for s in shingle_sets(batch.column("text"), size):
-                if len(s) and (node := node_of(s)) not in seen:
-                    seen.add(node)
-                    tokens.append(prefix(s, often, rank, percent))
-                    nodes.append(node)
-                    sizes.append(len(s))
-            if len(seen) > 500_000:
+            tokens, nodes, sizes, parts = [], [], [], []
+            with np.errstate(over="ignore"):
+                for s in shingle_sets(batch.column("text"), size):
+                    node, check = tell(s)
+                    node = renamed.get((node, check), node)
+                    if len(s) and node not in seen:
+                        seen.add(node)
+                        t, counts = prefix(s, often, rank, percent)
+                        tokens.append(t)
+                        parts.append(np.where(counts > split, 1 + node % np.maximum(1, -(-counts // split)), 0))
+                        nodes.append(node)
+                        sizes.append(len(s))
+            if len(seen) > SEEN:
                 seen.clear()
+            if not tokens:
+                continue
             each = [len(t) for t in tokens]
-            out = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], ["token", "node", "n"])
+            place = np.concatenate([np.arange(k, dtype=np.int32) for k in each])
+            n = np.repeat(np.array(sizes, np.int32), each)
+            q = (place.astype(np.int64) * 1000 // n).astype(np.int32)
+            yield _batch(names, pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(parts).astype(np.int32)), pa.array(q), pa.array(np.repeat(np.array(nodes, np.int64), each)), pa.array(n), pa.array(place))
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n int")
+    return docs.select("text").mapInArrow(run, "token long, part int, q int, node long, n int, i int")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Of rows in order of token and node, without repeats: those whose token more nodes hold, and its first node."""
+    """Of rows in order of token, part, q and node, without repeats: those of lists of several nodes and of parts, each with the
+    list's first row as its lead."""
+    names = ["token", "part", "node", "n", "i", "lead", "lead_n", "lead_i"]
+    kinds = (np.int64, np.int32, np.int64, np.int32, np.int32, np.int64, np.int32, np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row so far: token, node, n; whether it's the first of its token; the token's first node
+        held: list[np.ndarray] | None = None  # the last row so far
+        lead: list | None = None  # the lead of its list, if that isn't this row
+
+        def out(c: list[np.ndarray]) -> pa.RecordBatch:
+            return _batch(names, *(pa.array(x.astype(k)) for x, k in zip(c, kinds, strict=True)))
+
         for batch in batches:
-            t, v, n = (batch.column(i).to_numpy() for i in range(3))
-            if not len(t):
+            c = [batch.column(n).to_numpy() for n in ("token", "part", "node", "n", "i")]
+            if not len(c[0]):
                 continue
             if held is not None:
-                t, v, n = (np.concatenate([[h], c]) for h, c in zip(held[:3], (t, v, n), strict=True))
-            new = np.concatenate([[True], (t[1:] != t[:-1]) | (v[1:] != v[:-1])])
-            t, v, n = t[new], v[new], n[new]
-            start = np.concatenate([[True], t[1:] != t[:-1]])
-            leads = v[start].copy()
-            single = np.ones(len(leads), bool)
-            if held is not None and not held[3]:
-                leads[0], single[0] = held[4], False
+                c = [np.concatenate(x) for x in zip(held, c, strict=True)]
+            token, part, node = c[:3]
+            start = np.concatenate([[True], (token[1:] != token[:-1]) | (part[1:] != part[:-1])])
+            new = start | np.concatenate([[True], node[1:] != node[:-1]])
+            c, start = [x[new] for x in c], start[new]
             group = np.cumsum(start) - 1
-            alone = (np.bincount(group) == 1) & single
-            lead = leads[group]
-            keep = ~alone[group]
+            first = np.flatnonzero(start)
+            leads = [x[first].copy() for x in c[2:]]
+            several = (np.bincount(group) > 1) | (c[1][first] > 0)
+            if lead is not None:
+                for x, y in zip(leads, lead, strict=True):
+                    x[0] = y
+                several[0] = True
+            keep = several[group]
             keep[-1] = False  # it is held
-            first_of_last = bool(start[-1]) and bool(single[group[-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(v[keep]), pa.array(n[keep].astype(np.int32)), pa.array(lead[keep])], ["token", "node", "n", "lead"])
-            held = (t[-1], v[-1], n[-1], first_of_last, lead[-1])
-        if held is not None and not held[3]:
-            yield pa.RecordBatch.from_arrays([pa.array([int(held[0])], pa.int64()), pa.array([int(held[1])], pa.int64()), pa.array([int(held[2])], pa.int32()), pa.array([int(held[4])], pa.int64())], ["token", "node", "n", "lead"])
-
-    return rows.mapInArrow(run, "token long, node long, n int, lead long")
-
-
-def similar(a: np.ndarray, b: np.ndarray, percent: int, orders: int) -> bool:
-    """Of two sorted sets: the further orders' filters, then the intersection."""
-    least = needed(len(a), len(b), percent)
-    for turn in range(1, orders):
-        heads = []
-        for s in (a, b):
-            p = min(len(s), prefix_length(len(s), percent))
-            m = mixed(s, turn)
-            heads.append(np.partition(m, p - 1)[:p])
-        if len(np.intersect1d(*heads, assume_unique=True)) < least:
-            return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: int, orders: int, size: int) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar. Texts are fetched for the nodes in pairs alone."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    one = members.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
-    one = materialize(one.select("doc_id"), "jaccard-wanted")
-    if one.count() <= BROADCAST_ROWS:
-        one = F.broadcast(one)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 500):
-            found = list(shingle_sets(batch.column("text"), size))
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "set"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            a, b = (batch.column(i).to_pylist() for i in (2, 3))
-            keep = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent, orders) for x, y in zip(a, b, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
-
-    texts = docs.join(one, "doc_id", "left_semi").select("text")
-    held = materialize(texts.mapInArrow(sets, "node long, set binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
-    both = pairs.join(held.toDF("a", "set_a"), "a").join(held.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    links = materialize(both.mapInArrow(verify, "a long, b long"), "jaccard-links")
-    del both, held, texts
-    forget(docs.sparkSession)
-    return links
+            yield out([x[keep] for x in c] + [x[group][keep] for x in leads])
+            held = [x[-1:] for x in c]
+            lead = [x[-1] for x in leads] if lead is not None and group[-1] == 0 or not start[-1] else None
+        if held is not None and (lead is not None or held[1][0] > 0):
+            yield out(held + ([np.array([x]) for x in lead] if lead is not None else held[2:]))
 
+    return rows.mapInArrow(run, "token long, part int, node long, n int, i int, lead long, lead_n int, lead_i int")
+
+
+def _allowed(percent: int, n: str, i: str, v: str, j: str) -> Column:
+    """Whether the i-th token of a set of n and the j-th of one of v can be among those that count for the pair."""
+    a = f"(({percent} * ({n} + {v}) + {99 + percent}) div {100 + percent})"
+    m = f"(1 + least({n}, {v}) div 50)"
+    return F.expr(f"{i} < {n} - {a} + {m} and {j} < {v} - {a} + {m} and 100 * {n} >= {percent} * {v} and 100 * {v} >= {percent} * {n}")
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, orders: int = ORDERS, frequent: float = FREQUENT) -> DataFrame:
-    """``docs`` has doc_id and text; returns doc_id, n_shingles, component_id, a row for each row."""
+
+def _few(spark: SparkSession, df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+class _Texts:
+    """Nodes' sizes, heads and texts, and the comparison of pairs."""
+
+    def __init__(self, docs: DataFrame, found: DataFrame, nodes: DataFrame, renamed: dict[tuple[int, int], int], percent: int, orders: int, size: int, tell: Callable[[np.ndarray], tuple[int, int]]):
+        self.tell, self.docs, self.found, self.nodes, self.renamed = tell, docs, found, nodes, renamed
+        self.percent, self.orders, self.size = percent, orders, size
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b) of nodes."""
+        pairs = materialize(pairs.select("a", "b"), "jaccard-pairs")
+        for step in (self._by_heads, self._by_texts):
+            pairs = step(pairs)
+            forget(self.docs.sparkSession)
+        return pairs
+
+    def _joined(self, pairs: DataFrame, held: DataFrame) -> DataFrame:
+        """Pairs (a, b) with what ``held`` has of both nodes: node, n, blob."""
+        held = materialize(held, "jaccard-held")
+        return pairs.join(held.toDF("a", "n_a", "blob_a"), "a").join(held.toDF("b", "n_b", "blob_b"), "b").select("a", "b", "n_a", "n_b", "blob_a", "blob_b")
+
+    def _wanted(self, pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-wanted")
+
+    def _compared(self, both: DataFrame, test) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _slices(batches, 200):
+                rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
+                keep = pa.array([test(n, v, x, y) for n, v, x, y in rows], pa.bool_())
+                yield _batch(["a", "b"], batch.column(0), batch.column(1)).filter(keep)
+
+        return materialize(both.mapInArrow(run, "a long, b long"), "jaccard-links")
+
+    def _by_heads(self, pairs: DataFrame) -> DataFrame:
+        if self.orders < 2:
+            return pairs
+        percent, orders = self.percent, self.orders
+        heads = self.found.where("heads is not null").join(_few(self.docs.sparkSession, self._wanted(pairs)), "node", "left_semi").select("node", F.col("n").cast("int"), "heads").dropDuplicates(["node"])
+        return self._compared(self._joined(pairs, heads), lambda n, v, x, y: heads_allow(x, n, y, v, percent, orders))
+
+    def _by_texts(self, pairs: DataFrame) -> DataFrame:
+        percent, size, renamed, tell = self.percent, self.size, self.renamed, self.tell
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _slices(batches, 500):
+                found = list(shingle_sets(batch.column("text"), size))
+                keys = [tell(s) for s in found]
+                yield _batch(["node", "n", "blob"], pa.array([renamed.get(k, k[0]) for k in keys], pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([s.tobytes() for s in found], pa.binary()))
+
+        def test(n: int, v: int, x: bytes, y: bytes) -> bool:
+            both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+            return 100 * both >= percent * (n + v - both)
+
+        wanted = self._wanted(pairs)
+        rows = materialize(self.nodes.join(wanted, "node", "left_semi").select(F.coalesce("one.doc_id", F.lit(0)).alias("_id"), F.col("one.h").alias("_h")), "jaccard-rows")
+        texts = self.docs.join(_few(self.docs.sparkSession, rows), (F.coalesce("doc_id", F.lit(0)) == F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi").select("text")
+        held = texts.mapInArrow(sets, "node long, n int, blob binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        return self._compared(self._joined(pairs, held), test)
+
+
+def _best(led: DataFrame, percent: int) -> DataFrame:
+    """From rows (node, n, i, lead, lead_n, lead_i) of lists to pairs: each node with the one that leads most of its lists."""
+    led = led.where("node != lead").where(_allowed(percent, "n", "i", "lead_n", "lead_i"))
+    led = led.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("count"))
+    return led.groupBy("node").agg(F.max(F.struct("count", "lead")).alias("best")).select(F.col("node").alias("a"), F.col("best.lead").alias("b"))
+
+
+def _labelled(rows: DataFrame, groups: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with ``c_<column>``, the component of each of these columns' nodes."""
+    for c in columns:
+        own = _few(rows.sparkSession, groups).select(F.col("node").alias(f"_{c}"), F.col("component").alias(f"c_{c}")) if groups is not None else None
+        rows = rows.join(own, F.col(c) == F.col(f"_{c}"), "left").drop(f"_{c}").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
+    return rows
+
+
+def _open_lists(held: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of tokens whose nodes lie in several components, with the component."""
+    tokens = materialize(_labelled(held.select("token", "node", "lead"), groups, "node", "lead").where("c_node != c_lead").select("token").distinct(), "jaccard-open")
+    return materialize(_labelled(held.join(_few(held.sparkSession, tokens), "token", "left_semi").select("token", "node", "n", "i").distinct(), groups, "node").withColumnRenamed("c_node", "component"), "jaccard-lists")
+
+
+def _sides(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For (token, node, n, i, component): the rows as the larger set of a pair, once for each class of sizes that the smaller one
+    may have; those that can be the smaller one; and (token, class, main), the component of most rows there."""
+    most = F.expr(f"least(n, ({100 + percent} * (n - i + n div 50)) div {percent} - n)")
+    low = F.expr(f"({percent} * n + 99) div 100")
+    size_class = lambda c: F.floor(F.log(c) / _STEP).cast("int")
+    rows = rows.withColumn("most", most)
+    large = rows.where(F.col("most") >= low).withColumn("class", F.explode(F.sequence(size_class(low), size_class(F.col("most")))))
+    small = rows.where(F.expr(f"({100 + percent} * (n - i + n div 50)) div {percent} - n >= n")).withColumn("class", size_class(F.col("n")))
+    each = small.groupBy("token", "class", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = each.groupBy("token", "class").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("rows")).select("token", "class", F.col("m.component").alias("main"), "rows")
+    return large, small, main
+
+
+def _pairs(rows: DataFrame, percent: int, limit: float | None) -> DataFrame | None:
+    """Candidate pairs (a, b) between components, or ``None`` if more than ``limit`` comparisons for each row would be made."""
+    large, small, main = _sides(rows, percent)
+    main = materialize(main, "jaccard-main")
+    mark = lambda df: materialize(df.join(main, ["token", "class"]).select("token", "class", "node", "n", "i", "component", "main"), "jaccard-side")
+    x, y = mark(large), mark(small)
+    apart = "component != main"
+    if limit is not None:
+        ways = x.where(apart).join(main.select("token", "class", "rows"), ["token", "class"]).agg(F.sum("rows")).first()[0] or 0
+        other = y.where(apart).groupBy("token", "class").agg(F.count(F.lit(1)).alias("k"))
+        ways += x.where("component = main").groupBy("token", "class").agg(F.count(F.lit(1)).alias("l")).join(other, ["token", "class"]).agg(F.sum(F.col("k") * F.col("l"))).first()[0] or 0
+        if ways > limit * (x.count() + y.count()) + 1_000_000:
+            return None
+    key = ["token", "class"]
+    left, right = lambda df: df.select(*key, F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("i").alias("i_a"), F.col("component").alias("c_a")), lambda df: df.select(*key, F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"), F.col("component").alias("c_b"))
+    fits = _allowed(percent, "n_a", "i_a", "n_b", "i_b") & F.expr("c_a != c_b and (n_a > n_b or n_a = n_b and a > b)")
+    found = None
+    for p, q in ((left(x.where(apart)), right(y)), (left(x.where("component = main")), right(y.where(apart)))):
+        part = p.join(q, (p["token"] == q["token"]) & (p["class"] == q["class"]) & fits).select("a", "b", "n_b")
+        found = part if found is None else found.union(part)
+    return found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"), F.first("n_b").alias("n_b")).where("count >= 1 + n_b div 50").select("a", "b")
+
+
+def classes(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, orders: int = ORDERS, frequent: float = FREQUENT, split: int = SPLIT, tell: Callable[[np.ndarray], tuple[int, int]] = node_of) -> DataFrame:
+    """``docs`` has doc_id and text; returns doc_id, h (xxhash64 of the text), n_shingles, component (a number that the rows of one
+    component share, null without shingles) and component_id, a row for each row."""
     spark = docs.sparkSession
-    found = materialize(sets_of(docs, size, frequent), "jaccard-nodes")
-    members = found.where("kind = 0").select("doc_id", "node", "n")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    found = materialize(sets_of(docs, size, percent, orders, frequent, tell), "jaccard-nodes")
+    members = found.where("kind = 0").select("doc_id", "h", "node", "check", "n")
     n_docs = members.count()
     listed = found.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= frequent * n_docs).toPandas()
     tokens = listed["node"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(tokens)
     often, rank = tokens[by], listed["n"].to_numpy(np.int64)[by]
-    rows = _prefixes(docs, often, rank, percent, size)
+    # Two sets with the same first 64 bits: their nodes are named by the others. By chance there are none below a billion sets.
+    double = members.where("n > 0").groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x != y").select("node")
+    double = members.where("n > 0").join(double, "node", "left_semi").select("node", "check").distinct().collect()
+    renamed = {(r["node"], r["check"]): r["check"] for r in double}
+    if renamed:
+        names = F.create_map(*(F.lit(v) for k, x in renamed.items() for v in (f"{k[0]} {k[1]}", x)))
+        found = found.withColumn("node", F.coalesce(F.try_element_at(names, F.concat_ws(" ", "node", "check")), F.col("node")))
+        members = found.where("kind = 0").select("doc_id", "h", "node", "check", "n")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("one")
+    nodes = materialize(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), one), "jaccard-sets")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    shared = materialize(_shared(rows.repartition(parts, "token").sortWithinPartitions("token", "node")), "jaccard-tokens")
+    rows = _prefixes(docs, often, rank, renamed, percent, size, split, tell).repartition(parts, "token", "part").sortWithinPartitions("token", "part", "q", "node")
+    held = materialize(_shared(rows), "jaccard-tokens")
     del rows
     forget(spark)
-    hubs = shared.groupBy("node").agg((1000 * F.count(F.lit(1)) / (1 + F.first("n"))).cast("int").alias("hub"))
-    held = materialize(shared.select("token", "node", "n").join(hubs, "node").withColumn("component", F.col("node")), "jaccard-held")
-    del shared
-    rest = lambda n: F.ceil(percent * F.col(n) / 100) - 1 - F.floor(F.col(n) * MORE)
-    least = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent)) - F.greatest(rest("n_a"), rest("n_b"))
-    links = None
-    for _ in range(ROUNDS):
-        sizes = held.select("node", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-        ranked = held.join(sizes, "component") if links is not None else held.withColumn("size", F.lit(1).cast("long"))
-        leads = ranked.groupBy("token").agg(F.max(F.struct("size", "hub", "node", "n", "component")).alias("lead"))
-        led = held.join(leads, "token").where(f"component != lead.component and 100 * n >= {percent} * lead.n and 100 * lead.n >= {percent} * n")
-        led = led.groupBy("node", F.col("lead.node").alias("b")).agg(F.count(F.lit(1)).alias("count"), F.first("n").alias("n_a"), F.first("lead.n").alias("n_b"))
-        led = led.where(F.col("count") >= least / 2).groupBy("node").agg(F.max(F.struct("count", "b")).alias("best"))
-        new = _verified(materialize(led.select(F.col("node").alias("a"), F.col("best.b").alias("b")), "jaccard-led"), docs, members, percent, orders, size)
-        links = new if links is None else links.union(new)
-        groups = materialize(components(links), "jaccard-groups")
-        held = held.drop("component").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed_ = held.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
-        held = materialize(held.join(mixed_, "token", "left_semi"), "jaccard-held")
-        forget(spark)
+    if len(rank) and rank.max() > split:  # the leads of a token's parts meet
+        tops = held.where("part > 0").select("token", F.struct(F.expr("lead_i * 1000L div lead_n").alias("q"), F.col("lead").alias("node"), F.col("lead_n").alias("n"), F.col("lead_i").alias("i")).alias("top")).distinct()
+        first = materialize(tops.groupBy("token").agg(F.min("top").alias("first")), "jaccard-first")
+        more = tops.join(first, "token").select("token", F.lit(-1).alias("part"), "top.node", "top.n", "top.i", F.col("first.node").alias("lead"), F.col("first.n").alias("lead_n"), F.col("first.i").alias("lead_i"))
+        held = held.unionByName(materialize(more, "jaccard-tops"))
+    texts = _Texts(docs, found, nodes, renamed, percent, orders, size, tell)
+    links = texts.similar(_best(held, percent))
+    groups = materialize(components(links), "jaccard-groups")
+    rest = _open_lists(held, groups)
+    pairs = None
+    for turn in range(ROUNDS):
+        pairs = _pairs(rest, percent, 4.0)
+        if pairs is not None:
+            break
+        leads = rest.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "n", "i")).alias("one"))
+        leads = materialize(leads.groupBy("token").agg(F.max(F.struct("k", "one", "component")).alias("l")), "jaccard-leads")
+        led = rest.join(leads, "token").where("component != l.component").select("node", "n", "i", F.col("l.one.node").alias("lead"), F.col("l.one.n").alias("lead_n"), F.col("l.one.i").alias("lead_i"))
+        new = texts.similar(_best(led, percent))
         if not new.take(1):
             break
-    open_ = held.select("token", "node", "n", "component")
-    x, y = open_.toDF("token", "a", "n_a", "c_a"), open_.toDF("token", "b", "n_b", "c_b")
-    pairs = x.join(y, "token").where(f"a < b and c_a != c_b and 100 * n_a >= {percent} * n_b and 100 * n_b >= {percent} * n_a")
-    pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = materialize(pairs.where(F.col("shared") >= least).where("shared >= 1").select("a", "b"), "jaccard-pairs")
+        links = links.union(new)
+        groups = materialize(components(links), "jaccard-groups")
+        rest = _open_lists(held.join(_few(spark, materialize(rest.select("token").distinct(), "jaccard-open")), "token", "left_semi"), groups)
+    pairs = materialize(pairs if pairs is not None else _pairs(rest, percent, None), "jaccard-pairs")
     forget(spark)
     if pairs.take(1):
-        links = links.union(_verified(pairs, docs, members, percent, orders, size))
+        links = links.union(texts.similar(pairs))
         groups = materialize(components(links), "jaccard-groups")
-    least = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = least.join(named, "component").select(F.col("node").alias("_node"), F.col("component_id").alias("_id"))
-    out = members.join(named, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_id", "doc_id").alias("component_id"))
+    named = groups.join(nodes.select("node", "least"), "node")
+    least = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "jaccard-ids")
+    linked = materialize(groups.join(least, "component").select("node", "component", "component_id"), "jaccard-linked")
+    ids = nodes.where("rows > 1").join(linked.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"), F.col("least").alias("component_id"))
+    ids = materialize(ids.unionByName(linked), "jaccard-named").select(F.col("node").alias("_node"), F.col("component").alias("_component"), "component_id")
+    out = members.join(_few(spark, ids), (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left")
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("_component", "node")).alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` has doc_id and text; returns doc_id, n_shingles, component_id, a row for each row; ``settings``
+    are those of ``classes``."""
+    return classes(docs, **settings).select("doc_id", "n_shingles", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

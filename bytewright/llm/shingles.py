@@ -1,4 +1,7 @@
-"""Sets of word shingles as sorted 64-bit hashes, computed over whole batches of texts at once."""
+"""Sets of word shingles as sorted 64-bit hashes, computed over whole batches of texts at once.
+
+A word's hash is a keyed one, so no text can be written to share it with another; a shingle's is a mixed sum of those of
+its words."""
 
 from __future__ import annotations
 
@@ -7,15 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SIZE = 5
+WORD_KEY = b"shingle-words-1"
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _CHUNK = 1 << 21
-_powers: dict[str, np.ndarray] = {}
 
 
 def mixed(h: np.ndarray, turn: int = 0) -> np.ndarray:
@@ -28,39 +28,37 @@ def mixed(h: np.ndarray, turn: int = 0) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base to the powers 0 to n, and of its inverse modulo 2**64."""
-    if len(_powers.get("up", ())) <= n:
-        n = max(n, _CHUNK + (1 << 17))
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for name, base in (("up", _BASE), ("down", inverse)):
-            out = np.full(n + 1, base, np.uint64)
-            out[0] = 1
-            _powers[name] = np.multiply.accumulate(out)
-    return _powers["up"], _powers["down"]
-
-
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i], times the inverse base to the power i, a hash of the bytes i to j."""
-    up, _ = powers(len(data))
+    out = []
+    for base in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64))):
+        up = np.full(n + 1, base, np.uint64)
+        up[0] = 1
+        out.append(np.multiply.accumulate(up))
+    return out[0], out[1]
+
+
+def prefix_hashes(data: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """P with P[j] - P[i], times the inverse base to the power i, a hash of the bytes i to j. ``up``: powers of the base."""
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
     return out
 
 
-def _chunk(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
+def word_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8, key=WORD_KEY).digest(), "little")
+
+
+def _chunk(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The shingle hashes of each text of a chunk, in turn and with repeats."""
-    space = _SPACE[data]
-    begin = np.zeros(len(data) + 1, bool)
-    begin[offsets[:-1]] = True
-    begin[offsets[-1]] = True
-    solid = ~space
-    first = solid & (begin[:-1] | np.concatenate(([True], space[:-1])))
-    last = solid & (begin[1:] | np.concatenate((space[1:], [True])))
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes, (_, down) = prefix_hashes(_LOWER[data]), powers(len(data))
-    words = mixed((hashes[ends] - hashes[starts]) * down[starts])
-    at = np.searchsorted(starts, offsets)
-    n = len(words)
-    whole = words[: max(0, n - size + 1)].copy()
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    flat = lists.flatten()
+    offsets -= offsets[0]
+    solid = np.asarray(pc.greater(pc.binary_length(flat), 0))
+    coded = flat.dictionary_encode()
+    hashes = np.fromiter(map(word_hash, coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    words = hashes[coded.indices.to_numpy()][solid]
+    at = np.concatenate([[0], np.cumsum(solid)])[offsets]
+    whole = words[: max(0, len(words) - size + 1)].copy()
     for k in range(1, size):
         whole = whole * _STEP + words[k : k + len(whole)]
     whole = mixed(whole)
@@ -82,16 +80,16 @@ def shingle_sets(texts: pa.Array, size: int = SIZE) -> Iterator[np.ndarray]:
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
-    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
     a = 0
     with np.errstate(over="ignore"):
         while a < n:
             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _CHUNK, "right")) - 1)
-            for h in _chunk(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size):
+            for h in _chunk(texts.slice(a, b - a), size):
                 yield np.unique(h)
             a = b
 
 
-def node_of(shingles: np.ndarray) -> int:
-    """One number for a set: texts with the same set share it."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def node_of(shingles: np.ndarray) -> tuple[int, int]:
+    """A number for a set, which texts with the same set share, and a second one that tells sets with the same first."""
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)

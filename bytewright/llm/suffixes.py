@@ -53,7 +53,8 @@ def runs_in(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     m = len(data) - GRAM + 1
     if len(data) < LENGTH:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 4
-    total, (_, down) = prefix_hashes(data), powers(len(data))
+    up, down = powers(len(data))
+    total = prefix_hashes(data, up)
     grams = mixed((total[GRAM:] - total[:-GRAM]) * down[:m])
     marked = np.full(-(-m // _WIDE) * _WIDE, np.uint64(0xFFFFFFFFFFFFFFFF))
     marked[:m] = (grams & ~np.uint64((1 << 22) - 1)) | np.arange(m, dtype=np.uint64)

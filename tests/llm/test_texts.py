@@ -222,6 +222,52 @@ def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], DOCS)).collect() == []
 
 
+THUE = lambda k: "a" if k == 0 else (lambda x: x + x.translate(str.maketrans("ab", "ba")))(THUE(k - 1))
+
+
+def test_jaccard_links_through_null_ids_and_tells_long_words_apart(spark):
+    rng = random.Random(8)
+    a = words(100, rng).split()
+    n, b = list(a), list(a)
+    n[10] = b[10] = "x1"
+    n[90:] = b[90:] = ["y"] * 10
+    b[40] = "x2"
+    one, other = THUE(10), THUE(10).translate(str.maketrans("ab", "ba"))
+    rows = [(5, " ".join(a)), (None, " ".join(n)), (9, " ".join(b)), (20, one), (21, other), (22, f"p q r s {one} t u v w"), (23, f"p q r s {other} t u v w")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()), key=repr)
+    want = _plain_components(rows)
+    assert {c for d, _, c in got if d in (5, 9)} | {c for d, _, c in got if d is None} == {5}
+    assert {d: c for d, _, c in got if d and d > 9} == {20: 20, 21: 21, 22: 22, 23: 23}
+    assert [x for x in got if x[0] is not None] == [x for x in want if x[0] is not None]
+
+
+def test_jaccard_with_a_passage_in_all_rows_and_large_groups(spark):
+    """Passages that all rows hold, a large group of near copies at and below the threshold; lists dealt out in parts."""
+    rng = random.Random(5)
+    passage, base = words(80, rng), words(120, rng).split()
+    rows = [(i, passage + " " + words(rng.randint(5, 60), rng)) for i in range(150)]
+    for i in range(200):
+        copy = list(base)
+        for _ in range(rng.randint(0, 9)):
+            copy[rng.randrange(len(copy))] = f"w{rng.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(copy)))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(4), split=30).collect()), key=repr)
+    assert got == _plain_components(rows)
+
+
+def test_jaccard_with_colliding_nodes(spark):
+    rows = [(i, words(30, random.Random(i // 2))) for i in range(10)]
+    tell = jaccard.node_of
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, DOCS), tell=lambda s: (7, tell(s)[1])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i // 2 * 2 for i in range(10)}
+
+
+def test_jaccard_of_a_very_long_text(spark):
+    long = words(300_000, random.Random(3))
+    rows = [(1, long), (2, long + " more"), (3, "a b c d e f")]
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 # --- repeated bytes
 
 
