@@ -1,27 +1,42 @@
 """Personal data replaced by surrogates.
 
 Entities found: e-mail addresses, telephone, payment card, social security and IBAN numbers, IPv4 addresses, keys and
-tokens, and names behind a title. Each gets a surrogate of its own type, made from a keyed hash of the entity: the
+tokens, and names behind a title. Each gets a surrogate of its own type, made from a keyed hash (HMAC) of the entity: the
 same entity, in any writing (upper case, other separators), gets the same surrogate in every document, and its
 writing is kept: separators, case, length, script of each letter, the first digit of numbers, the Luhn check of cards
-that pass it, octets of as many digits, domains reserved for examples and top-level domains. Names keep their title
-and get an ending of the title's gender, in the script of the name.
+that pass it, octets of as many digits, domains reserved for examples and top-level domains.
+
+Names: a title and one or two words. The words are entities of their own: a first name by the title's gender, and a family
+name, each made from syllables of its script (Latin, Cyrillic; letters of other scripts are swapped for others), the
+family name with the title's gender ending. So "Mrs. Olga Braun" and "Mrs. Braun" share a family name. Other mentions of a word
+of a titled name in the same document, in the same writing, get its surrogate, too. Names that never stand behind a title
+in a document are not looked for.
 
 Collisions are checked over the whole corpus: a surrogate that equals any entity found, or that of another entity,
-is made anew with the next attempt's hash, from ``LONGER`` attempts on with further characters, until all differ.
+is made anew with the next attempt's hash until all differ: names with a further syllable for each attempt, others from ``LONGER``
+attempts on with further characters, addresses with octets of any length. After ``ROUNDS`` attempts the job fails rather than leave a collision.
 What is left of this is a table of the few entities with a later attempt: up to ``INLINE`` of them as a literal map,
-more by a join on the entity. Texts are not shuffled on the first path.
+more by a join on the entity.
+
+The patterns run once over each text, those only whose mark it holds (an @, a digit, a title); rows are written with what
+was found, and texts with entities are put together from there. Everything is built-in expressions.
 
-Everything is built-in expressions. Defined cases: null texts stay null and hold no entities; documents without
+The key is a parameter; the query takes it from the session's ``bytewright.surrogates.key``, where that is set.
+
+Defined cases: null texts stay null and hold no entities; documents without
 entities are returned as they are; repeated rows are treated alike; an empty table gives an empty result; other
-columns are passed on by ``redact`` and ignored by the query; a text of any length is read whole.
+columns are passed on by ``redact`` and ignored by the query; a text of any length is read whole; an address has at most
+64 characters before its @, and of a domain at most 126 labels are read; 13 to 19 digits in a row are a card where they pass the Luhn check, 4 by 4 digits always.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytewright.plans.columns import pick
@@ -29,22 +44,41 @@ from bytewright.plans.scratch import materialize
 from bytewright.sources.tables import table
 
 NAME = "op10_surrogates"
-KEY, INLINE, LONGER, ROUNDS = "surrogate-key-1", 500, 8, 40
+KEY, KEY_SETTING = "surrogate-key-1", "bytewright.surrogates.key"
+INLINE, LONGER, ROUNDS = 500, 8, 64
 _OCTET = "(?:25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)"
 _SECRET = "(?i:(?:api|access|secret)?[_-]?(?:key|token|secret|password|passwd|pwd))\\s?[=:]\\s?[\"']?"
-_MALE, _FEMALE = "Mr|Herr|Monsieur|Señor|Господин", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
+_ISSUED = "AKIA(?=[0-9A-Z]{12})|(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|AIza)(?=[A-Za-z0-9_-]*\\d)(?=[A-Za-z0-9_-]{16})"
+# Titles by gender.
+MALE = ("Mr", "Herr", "Monsieur", "Señor", "Господин")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
+OTHER = ("Dr", "Prof")
+_TITLES = "|".join(sorted(MALE + FEMALE + OTHER, key=len, reverse=True))
 #: Type and pattern, in order of precedence.
 PATTERNS = {
-    "secret": f"(?<![\\p{{L}}\\p{{N}}_])(?:{_SECRET}(?=[A-Za-z0-9+/_-]*\\d)[A-Za-z0-9+/_-]{{12,}}|AKIA[0-9A-Z]{{12,}})",
-    "email": "(?<![\\p{L}\\p{N}._%+-])[\\p{L}\\p{N}._%+-]++@(?:[\\p{L}\\p{N}-]+\\.)+\\p{L}{2,}",
+    "secret": f"(?<![\\p{{L}}\\p{{N}}_])(?:{_SECRET}(?=[A-Za-z0-9+/_-]*\\d)[A-Za-z0-9+/_-]{{12,}}|(?:{_ISSUED})[A-Za-z0-9_-]+)",
+    "email": "(?<![\\p{L}\\p{N}._%+-])[\\p{L}\\p{N}._%+-]{1,64}+@(?:[\\p{L}\\p{N}-]++\\.){1,126}\\p{L}{2,}",
     "iban": "(?<![\\p{L}\\p{N}])[A-Z]{2}\\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\\p{L}\\p{N}])",
-    "card": "(?<!\\d)(?:\\d{4}[ -]?){3}\\d{4}(?!\\d)",
+    "card": "(?<![\\d+])(?:(?:\\d{4}[ -]?){3}\\d{4}|3\\d{3}[ -]?\\d{6}[ -]?\\d{5}|\\d{13,19})(?!\\d)",
     "ssn": "(?<![\\d-])\\d{3}-\\d{2}-\\d{4}(?![\\d-])",
     "ip": f"(?<![\\d.])(?:{_OCTET}\\.){{3}}{_OCTET}(?!\\d|\\.\\d)",
     "phone": "(?<![\\d+])(?:\\+\\d{1,3}[ .-]?)?(?:\\(\\d{2,4}\\)[ .-]?|\\d{3}[ .-])\\d{3}[ .-]?\\d{4}(?!\\d)|\\+\\d{1,3}(?:[ .-]?\\d{2,4}){3,5}(?!\\d)",
-    "name": f"(?<!\\p{{L}})(?:{_MALE}|{_FEMALE})\\.? \\p{{Lu}}[\\p{{L}}]+(?: \\p{{Lu}}\\p{{L}}+)?",
+    "name": f"(?<!\\p{{L}})(?:{_TITLES})\\.? \\p{{Lu}}\\p{{L}}+(?: \\p{{Lu}}\\p{{L}}+)?",
 }
 ANY = "|".join(PATTERNS.values())
+#: What a text must hold for patterns to fit: a digit, an @, a title.
+_NEEDS = {"secret": "digit", "email": "at", "iban": "digit", "card": "digit", "ssn": "digit", "ip": "digit", "phone": "digit", "name": "title"}
+# Syllables of names.
+LATIN = {
+    "stem": "mar jul kar vik ros el nat hel mir sil dor lor ben tam fran gret ver nor lid ad kon fel bruk hart wes gal dan rob tor vin sam her".split(),
+    "mid": "an el in or et al is em ol ur en ar il ov ad er".split(),
+    "f": "ina ella ia etta ena ora isa ana".split(), "m": "us ert an o in ard iel mund".split(), "family": "son berg mann ford ler ton ner well dal feld lin rup stad wick mar ers".split(),
+}
+CYRILLIC = {
+    "stem": "мар юл кар вик роз ел нат хел мир сил дор лар бел там фед грет вер нор лид ад кон фил брук арт".split(),
+    "mid": "ан ел ин ор ет ал ис ем ол ур ен ар ил ав ад ер".split(),
+    "f": "ина елла ия ена ора иса ана уся".split(), "m": "ий ей ан он ин ард ил ир".split(), "family": "ов".split(),
+}
 #: Letters and digits that stand for each other, lower case.
 ALPHABETS = (
     "abcdefghijklmnopqrstuvwxyz",
@@ -60,6 +94,7 @@ ALPHABETS = (
     "김이박최정강조윤장임한오서신권황안송류홍",
 )
 _HEX = "0123456789abcdef"
+_NAMES = ("given-f", "given-m", "family")
 _EXAMPLE = "(?:^|\\.)(?:example\\.(?:com|net|org)|example|invalid|test)$"
 
 
@@ -68,10 +103,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _split(text: Column) -> Column:
+    return F.when(F.char_length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
+
+
 def _chars(text: Column, body: Callable[[Column, Column], Column]) -> Column:
     """Each character (given with its 1-based position) put through ``body``."""
-    places = F.when(F.char_length(text) > 0, F.sequence(F.lit(1), F.char_length(text))).otherwise(F.array().cast("array<int>"))
-    return F.concat_ws("", F.transform(places, lambda i: let(F.substring(text, i, F.lit(1)), lambda c: body(c, i))))
+    return F.array_join(F.transform(_split(text), lambda c, i: body(c, i + 1)), "")
 
 
 def _stripped(e: Column) -> Column:
@@ -79,32 +117,31 @@ def _stripped(e: Column) -> Column:
 
 
 def type_of(e: Column) -> Column:
+    """The type of what was found; null for digits that are no card."""
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(PATTERNS.items()):
         out = F.when(e.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
-    return out
+    return F.when((out == "card") & e.rlike("^\\d{13,19}$") & ~e.rlike("^\\d{16}$") & (_luhn(e) != 0), F.lit(None)).otherwise(out)
 
 
 def _secret_head(e: Column) -> Column:
-    return F.regexp_extract(e, f"^(?:{_SECRET}|AKIA)", 0)
+    return F.regexp_extract(e, f"^(?:{_SECRET}|{_ISSUED})", 0)
 
 
 def norm_of(kind: Column, e: Column) -> Column:
     """What all writings of an entity have in common."""
     value = F.substring(e, F.char_length(_secret_head(e)) + 1, F.char_length(e))
-    return (
-        F.when(kind == "secret", value)
-        .when(kind.isin("email", "ip"), F.lower(e))
-        .when(kind == "name", F.lower(F.regexp_replace(e, "^\\p{L}+\\.? ", "")))
-        .otherwise(F.lower(_stripped(e)))
-    )
+    return F.when(kind == "secret", value).when(kind.isin("email", "ip", *_NAMES), F.lower(e)).otherwise(F.lower(_stripped(e)))
+
+
+def _swap(c: Column, byte: Column, alphabets: Column) -> Column:
+    """Another character of ``c``'s alphabet, in its case; what is in none stays. ``alphabets``: an array."""
 
+    def of(a: Column) -> Column:
+        new = F.substring(a, (byte % F.char_length(a) + 1).cast("int"), F.lit(1))
+        return F.when(a.isNull(), c).when(c != F.lower(c), F.upper(new)).otherwise(new)
 
-def _swap(c: Column, byte: Column, alphabets: tuple[str, ...] = ALPHABETS) -> Column:
-    low, out = F.lower(c), c
-    for a in alphabets:
-        out = F.when(F.instr(F.lit(a), low) > 0, F.substring(F.lit(a), (byte % len(a) + 1).cast("int"), F.lit(1))).otherwise(out)
-    return F.when(c != low, F.upper(out)).otherwise(out)
+    return let(F.get(F.filter(alphabets, lambda a: F.instr(a, F.lower(c)) > 0), F.lit(0)), of)
 
 
 def _luhn(digits: Column) -> Column:
@@ -119,48 +156,74 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(places, worth), F.lit(0), lambda a, x: a + x) % 10
 
 
-def surrogate_of(kind: Column, norm: Column, head: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of an entity, in the writing of ``norm``; of names just the name. ``head``: a name's gender."""
+def _name(script: dict[str, list[str]], kind: Column, attempt: Column, byte: Callable[[Column], Column]) -> Column:
+    """Syllables of a script: a stem, one more than ``attempt`` between, and an ending by kind."""
+    of = lambda part, i: F.element_at(F.split(F.lit(" ".join(script[part])), " "), byte(i) % len(script[part]) + 1)
+    between = F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda k: of("mid", k + 4)), "")
+    end = F.when(kind == "given-f", of("f", F.lit(2))).when(kind == "given-m", of("m", F.lit(2))).otherwise(of("family", F.lit(2)))
+    return F.concat(of("stem", F.lit(1)), between, end)
+
+
+def _hmac(key: str, message: Column) -> Column:
+    """HMAC of SHA-512, as hexadecimal digits."""
+    plain = key.encode()
+    padded = (hashlib.sha512(plain).digest() if len(plain) > 128 else plain).ljust(128, b"\0")
+    inner, outer = (F.lit(bytes(x ^ c for x in padded)) for c in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 512))), 512)
+
 
-    def made(stream: Column) -> Column:
-        byte = lambda i: F.conv(F.substring(stream, ((i - 1) % 128 * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-        plain = lambda text, skip=0: _chars(text, lambda c, i: F.when(i <= skip, c).otherwise(_swap(c, byte(i))))
+def surrogate_of(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
+    """The surrogate of an entity, in the writing of ``norm``; of family names without the ending of a gender."""
+
+    def made(stream: Column, bytes_: Column) -> Column:
+        byte = lambda i: F.element_at(bytes_, ((i - 1) % 128 + 1).cast("int"))
+        tail = F.substring(stream, 200, 12)
         host = F.substring_index(norm, "@", -1)
-        top = F.substring_index(host, ".", -1)
-        under = F.substring(host, F.lit(1), F.char_length(host) - F.char_length(top))
-        domain = F.when(host.rlike(_EXAMPLE), host).otherwise(F.concat(plain(under), top))
+        kept = F.when(host.rlike(_EXAMPLE), host).otherwise(F.substring_index(host, ".", -1))  # of a domain
+        # one text of which all characters are swapped: what is in no alphabet stays
+        body = F.when(kind == "email", F.substring(norm, F.lit(1), F.char_length(norm) - F.char_length(kept))).when(kind.isin(*_NAMES) & (attempt >= 2), F.concat(norm, norm)).otherwise(norm)
+        skip = F.when(kind.isin("card", "phone", "ssn"), 1).when(kind == "iban", 2).otherwise(0)
+        hexadecimal = (kind == "secret") & F.lower(norm).rlike("^[0-9a-f]+$")
+        alphabets = F.when(hexadecimal, F.lit(_HEX)).otherwise(F.lit(" ".join(ALPHABETS)))
         octets = F.transform(
             F.split(norm, "\\."),
-            lambda o, i: F.when(F.char_length(o) == 1, byte(i + 1) % 9 + 1).when(F.char_length(o) == 2, byte(i + 1) % 90 + 10).otherwise(byte(i + 1) % 156 + 100).cast("string"),
-        )
-        number = plain(norm, 1)
-        fixed = let(number, lambda s: let(_luhn(F.concat(F.substring(s, F.lit(1), F.char_length(s) - 1), F.lit("0"))), lambda r: F.concat(F.substring(s, F.lit(1), F.char_length(s) - 1), ((10 - r) % 10).cast("string"))))
-        card = F.when(_luhn(norm) == 0, fixed).otherwise(number)
-        secret = F.when(F.lower(norm).rlike("^[0-9a-f]+$"), _chars(norm, lambda c, i: _swap(c, byte(i), (_HEX,)))).otherwise(plain(norm))
-        ending = F.when(norm.rlike("[а-я]"), F.when(head == "f", "на").otherwise("ов")).when(norm.rlike("[a-z]"), F.when(head == "f", "a").otherwise("o")).otherwise("")
-        name = F.concat(plain(F.regexp_replace(norm, "(?<=.)\\p{L}$", "")), ending)
-        return (
-            F.when(kind == "email", F.concat(plain(F.substring_index(norm, "@", 1)), F.when(attempt >= LONGER, F.concat(F.lit("."), F.substring(stream, 200, 12))).otherwise(""), F.lit("@"), domain))
-            .when(kind == "ip", F.array_join(octets, "."))
-            .when(kind == "card", card)
-            .when(kind.isin("phone", "ssn"), number)
-            .when(kind == "iban", plain(norm, 2))
-            .when(kind == "secret", secret)
-            .otherwise(name)
+            lambda o, i: F.when(attempt >= LONGER, byte(i + 1) % 255 + 1)
+            .when(F.char_length(o) == 1, byte(i + 1) % 9 + 1)
+            .when(F.char_length(o) == 2, byte(i + 1) % 90 + 10)
+            .otherwise(byte(i + 1) % 156 + 100)
+            .cast("string"),
         )
 
-    def with_more(stream: Column) -> Column:
-        """A type without room for further characters inside gets them at its end."""
-        more = F.when((attempt >= LONGER) & (kind != "email"), F.when(kind.isin("secret", "iban"), F.substring(stream, 200, 12)).when(kind == "name", F.translate(F.substring(stream, 200, 12), "0123456789", "ghijklmnop")).when(kind == "ip", "").otherwise(F.translate(F.substring(stream, 200, 12), "abcdef", "012345"))).otherwise("")
-        return F.concat(made(stream), more)
+        def from_(s: Column) -> Column:
+            email = F.when(attempt < LONGER, F.concat(s, kept)).otherwise(F.concat(F.substring_index(s, "@", 1), F.lit("."), tail, F.lit("@"), F.substring_index(s, "@", -1), kept))
+            head = F.substring(s, F.lit(1), F.char_length(s) - 1)
+            card = F.when(_luhn(norm) != 0, s).otherwise(F.concat(head, ((10 - _luhn(F.concat(head, F.lit("0")))) % 10).cast("string")))
+            name = F.when(norm.rlike("^[а-яё]+$"), _name(CYRILLIC, kind, attempt, byte)).when(norm.rlike("^[a-zà-ÿ]+$"), _name(LATIN, kind, attempt, byte)).otherwise(s)
+            whole = F.when(kind == "email", email).when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", card).when(kind.isin(*_NAMES), name).otherwise(s)
+            # a type without room for further characters inside gets them at its end
+            more = F.when(kind.isin("secret", "iban"), tail).when(kind.isin("card", "phone", "ssn"), F.translate(tail, "abcdef", "012345")).otherwise("")
+            return F.when(attempt >= LONGER, F.concat(whole, more)).otherwise(whole)
+
+        return let(F.split(alphabets, " "), lambda all_: let(_chars(body, lambda c, i: F.when(i <= skip, c).otherwise(_swap(c, byte(i), all_))), from_))
+
+    def of_stream(stream: Column) -> Column:
+        bytes_ = F.transform(F.sequence(F.lit(1), F.lit(255), F.lit(2)), lambda i: F.conv(F.substring(stream, i, F.lit(2)), 16, 10).cast("int"))
+        return let(bytes_, lambda b: made(stream, b))
+
+    seed = F.concat_ws("|", kind, attempt.cast("string"), norm)
+    stream = F.concat(_hmac(key, F.concat(seed, F.lit("|0"))), _hmac(key, F.concat(seed, F.lit("|1"))))
+    return let(stream, of_stream)
+
 
-    seed = F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), head, norm)
-    stream = F.concat(F.sha2(F.concat(seed, F.lit("|0")), 512), F.sha2(F.concat(seed, F.lit("|1")), 512))
-    return let(stream, with_more)
+def gender_of(e: Column) -> Column:
+    title = F.regexp_extract(e, "^\\p{L}+", 0)
+    return F.when(title.isin(*FEMALE), F.lit("f")).when(title.isin(*MALE), F.lit("m")).otherwise(F.lit(""))
 
 
-def gender_of(kind: Column, e: Column) -> Column:
-    return F.when((kind == "name") & e.rlike(f"^(?:{_FEMALE})\\b"), F.lit("f")).otherwise(F.lit(""))
+def _with_gender(s: Column, kind: Column, gender: Column) -> Column:
+    """A family name's surrogate with the ending of a woman's."""
+    end = F.when(s.rlike("[а-яё]$"), F.lit("а")).when(s.rlike("[a-z]$"), F.lit("a")).otherwise(F.lit(""))
+    return F.when((kind == "family") & (gender == "f"), F.concat(s, end)).otherwise(s)
 
 
 def _written(kind: Column, e: Column, s: Column) -> Column:
@@ -169,75 +232,137 @@ def _written(kind: Column, e: Column, s: Column) -> Column:
     def like(c: Column, new: Column) -> Column:
         return F.when((c != F.lower(c)) & (new != ""), F.upper(new)).otherwise(new)
 
-    same = _chars(s, lambda new, i: like(F.substring(e, i, F.lit(1)), new))
+    same = let(_split(e), lambda old: _chars(s, lambda new, i: like(F.coalesce(F.get(old, i - 1), F.lit("")), new)))
     spread = F.concat(
         _chars(e, lambda c, i: F.when(c.rlike("[\\p{L}\\p{N}]"), like(c, F.substring(s, F.char_length(_stripped(F.substring(e, F.lit(1), i))), F.lit(1)))).otherwise(c)),
         F.substring(s, F.char_length(_stripped(e)) + 1, F.char_length(s)),
     )
-    title = F.regexp_extract(e, "^\\p{L}+\\.? ", 0)
-    return F.when(kind == "secret", F.concat(_secret_head(e), s)).when(kind.isin("email", "ip"), same).when(kind == "name", F.concat(title, F.initcap(s))).otherwise(spread)
+    name = F.when((e == F.upper(e)) & (F.char_length(e) > 1), F.upper(s)).otherwise(F.initcap(s))
+    return F.when(kind == "secret", F.concat(_secret_head(e), s)).when(kind.isin("email", "ip"), same).when(kind.isin(*_NAMES), name).otherwise(spread)
 
 
 def _found(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
+    """What the patterns find, in turn. Only those are tried whose mark the text holds."""
+    has = {"at": F.contains(text, F.lit("@")), "digit": text.rlike("[0-9]")}
+    heads = [t for t in MALE + FEMALE + OTHER if not any(t != u and t.startswith(u) for u in MALE + FEMALE + OTHER)]
+    has["title"] = reduce(lambda a, b: a | b, (F.contains(text, F.lit(t)) for t in heads))
+    none = F.array().cast("array<string>")
+    out = none
+    for marks in itertools.product((False, True), repeat=len(has)):
+        held = {k for k, on in zip(has, marks, strict=True) if on}
+        if held:
+            fits = reduce(lambda a, b: a & b, (has[k] for k in held))
+            out = F.when(fits, F.regexp_extract_all(text, F.lit("|".join(p for k, p in PATTERNS.items() if _NEEDS[k] in held)), F.lit(0))).otherwise(out)
+    return F.coalesce(out, none)
+
+
+def _words(found: Column) -> Column:
+    """The words of titled names, each once: (word, rank, kind, gender), two-word names' roles first."""
+
+    def of(e: Column) -> Column:
+        words, g = F.split(F.regexp_replace(e, "^\\p{L}+\\.? ", ""), " "), gender_of(e)
+        word = lambda w, rank, kind: F.struct(w.alias("word"), F.lit(rank).alias("rank"), kind.alias("kind"), g.alias("gender"))
+        first = words[0]
+        given = F.when((g == "f") | ((g == "") & F.lower(first).rlike("[aаяe]$")), F.lit("given-f")).otherwise(F.lit("given-m"))
+        return F.when(F.size(words) == 2, F.array(word(first, 0, given), word(F.get(words, F.lit(1)), 0, F.lit("family")))).otherwise(F.array(word(first, 1, F.lit("family"))))
+
+    names = F.filter(found, lambda e: e.rlike(f"^(?:{_TITLES})\\.? \\p{{Lu}}"))
+    ranked = F.array_sort(F.flatten(F.transform(names, of)))
+    return let(ranked, lambda a: F.filter(a, lambda x, i: (i == 0) | (x["word"] != F.get(a, i - 1)["word"])))
+
+
+def _entities(found: Column) -> Column:
+    """(kind, norm) of all that was found; names by their words."""
+    typed = F.transform(found, lambda e: let(type_of(e), lambda k: F.struct(k.alias("kind"), norm_of(k, e).alias("norm"))))
+    plain = F.filter(typed, lambda x: x["kind"].isNotNull() & (x["kind"] != "name"))
+    return F.concat(plain, F.transform(_words(found), lambda w: F.struct(w["kind"].alias("kind"), F.lower(w["word"]).alias("norm"))))
 
 
 def _tag(kind: Column, norm: Column) -> Column:
     return F.concat_ws("|", kind, norm)
 
 
-def later_attempts(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """(tag, attempt) of the entities whose first surrogates collide. ``docs`` has ``found``, their entities."""
-    each = docs.select(F.explode("found").alias("e")).groupBy("e").count()
-    each = each.select("e", type_of(F.col("e")).alias("kind")).withColumn("norm", norm_of(F.col("kind"), F.col("e"))).withColumn("head", gender_of(F.col("kind"), F.col("e")))
-    all_ = materialize(each.groupBy("kind", "norm").agg(F.max("head").alias("head"), F.lit(0).alias("attempt")), "pii-entities")
-    state = all_
+def later_attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
+    """(tag, attempt) of the entities (kind, norm) whose first surrogates collide."""
+    all_ = materialize(entities.distinct(), "pii-entities")
+    space = F.when(F.col("kind").isin(*_NAMES), F.lit("name")).otherwise(F.col("kind"))
+    state = all_.withColumn("attempt", F.lit(0))
+    taken = all_.select(space.alias("space"), F.lower("norm").alias("value")).distinct()
     for _ in range(ROUNDS):
-        made = state.withColumn("value", surrogate_of(F.col("kind"), F.col("norm"), F.col("head"), F.col("attempt"), key))
-        both = made.select("kind", "norm", "head", "attempt", F.lower("value").alias("value"), F.lit(1).alias("made"))
-        both = both.unionByName(all_.select("kind", "norm", "head", "attempt", F.lower("norm").alias("value"), F.lit(0).alias("made")))
-        same = Window.partitionBy("kind", "value")
-        clash = both.withColumn("taken", F.min("made").over(same)).withColumn("first", F.min(F.when(F.col("made") == 1, F.struct("attempt", "norm"))).over(same))
-        clash = clash.where("made = 1").withColumn("again", (F.col("taken") == 0) | (F.struct("attempt", "norm") != F.col("first")))
-        settled = materialize(clash.select("kind", "norm", "head", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"), "again"), "pii-attempts")
-        state = settled.drop("again")
-        if not settled.where("again").take(1):
+        made = state.withColumn("base", surrogate_of(F.col("kind"), F.col("norm"), F.col("attempt"), key))
+        values = F.array_distinct(F.array(F.col("base"), _with_gender(F.col("base"), F.col("kind"), F.lit("f"))))
+        made = materialize(made.select("kind", "norm", "attempt", space.alias("space"), F.explode(F.transform(values, lambda v: F.lower(v))).alias("value")), "pii-made")
+        # of the entities with one value, that of the least attempt and norm keeps it, unless it is an entity itself
+        first = made.groupBy("space", "value").agg(F.min(F.struct("attempt", "kind", "norm")).alias("first"), F.count(F.lit(1)).alias("n"))
+        used = first.join(taken, ["space", "value"], "left_semi").select("space", "value").withColumn("used", F.lit(True))
+        bad = first.where("n > 1").join(used, ["space", "value"], "full")
+        bad = materialize(bad.select("space", "value", "first", F.coalesce("used", F.lit(False)).alias("used")), "pii-values")
+        if not bad.take(1):
             break
+        again = made.join(bad, ["space", "value"]).where("used or first is null or not (first.kind = kind and first.norm = norm)").select("kind", "norm").distinct().withColumn("again", F.lit(1))
+        state = materialize(state.join(again, ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "pii-attempts")
+    else:
+        raise RuntimeError(f"surrogates still collide after {ROUNDS} attempts: a format has too few values")
     return state.where("attempt > 0").select(_tag(F.col("kind"), F.col("norm")).alias("tag"), "attempt")
 
 
 def redact(docs: DataFrame, key: str = KEY, inline: int = INLINE) -> DataFrame:
     """``docs`` with ``text`` replaced, and ``n_entities``."""
-    held = docs.withColumn("_found", _found(F.col("text")))
-    late = later_attempts(held.select(F.col("_found").alias("found")), key)
+    names = docs.columns
+    plain = [f"_{i}" for i in range(len(names))]
+    text = F.col(plain[names.index("text")])
+    held = materialize(docs.toDF(*plain).withColumn("_found", _found(text)).withColumn("_row", F.monotonically_increasing_id()), "pii-found")
+    late = later_attempts(held.where(F.size("_found") > 0).select(F.explode(_entities(F.array_distinct("_found"))).alias("x")).select("x.*"), key)
     few = late.take(inline + 1)
     if len(few) > inline:
-        held = materialize(held.withColumn("_row", F.monotonically_increasing_id()), "pii-held")
-        tags = held.select("_row", F.explode("_found").alias("e")).withColumn("kind", type_of(F.col("e")))
-        tags = tags.select("_row", _tag(F.col("kind"), norm_of(F.col("kind"), F.col("e"))).alias("tag")).join(late, "tag").distinct()
+        tags = held.where(F.size("_found") > 0).select("_row", F.explode(_entities(F.array_distinct("_found"))).alias("x")).select("_row", _tag(F.col("x.kind"), F.col("x.norm")).alias("tag")).join(late, "tag").distinct()
         maps = tags.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("tag", "attempt"))).alias("_late"))
-        held = held.join(maps, "_row", "left").drop("_row")
+        held = held.join(maps, "_row", "left")
     elif few:
         held = held.withColumn("_late", F.create_map(*(F.lit(x) for row in few for x in row)))
     else:
         held = held.withColumn("_late", F.lit(None).cast("map<string,int>"))
 
-    def replaced(e: Column) -> Column:
-        def of(x: Column) -> Column:
-            attempt = F.coalesce(F.try_element_at(F.col("_late"), _tag(x["kind"], x["norm"])), F.lit(0))
-            made = let(attempt, lambda a: surrogate_of(x["kind"], x["norm"], x["head"], a, key))
-            return let(made, lambda s: _written(x["kind"], x["e"], s))
+    def made(x: Column) -> Column:
+        tag = _tag(x["kind"], x["norm"])
+        attempt = F.coalesce(F.try_element_at(F.col("_late"), tag), F.lit(0))
+        return let(attempt, lambda a: surrogate_of(x["kind"], x["norm"], a, key))
+
+    def of_word(w: Column, known: Column) -> Column:
+        kind, word = w["kind"], w["word"]
+        new = let(F.try_element_at(known, _tag(kind, F.lower(word))), lambda s: _written(kind, word, _with_gender(s, kind, w["gender"])))
+        return F.struct(word.alias("word"), new.alias("made"))
+
+    def rewritten(part: Column, words: Column) -> Column:
+        """A piece of text with the words of titled names replaced."""
+        pieces = F.transform(F.regexp_extract_all(part, F.lit("\\p{L}+|[^\\p{L}]+"), F.lit(0)), lambda t: F.coalesce(F.try_element_at(words, t), t))
+        return F.when(F.size(words) > 0, F.array_join(pieces, "")).otherwise(part)
+
+    def replaced(e: Column, words: Column, known: Column) -> Column:
+        def of(kind: Column) -> Column:
+            title = F.regexp_extract(e, "^\\p{L}+\\.? ", 0)
+            name = F.concat(title, rewritten(F.substring(e, F.char_length(title) + 1, F.char_length(e)), words))
+            other = let(norm_of(kind, e), lambda n: let(F.try_element_at(known, _tag(kind, n)), lambda s: _written(kind, e, s)))
+            return F.when(kind.isNull(), e).when(kind == "name", name).otherwise(other)
+
+        return let(type_of(e), of)
+
+    each = F.array_distinct("_found")  # a text may repeat an entity very often
 
-        whole = let(type_of(e), lambda k: F.struct(k.alias("kind"), e.alias("e"), norm_of(k, e).alias("norm"), gender_of(k, e).alias("head")))
-        return let(whole, of)
+    def joined(words: Column, known: Column) -> Column:
+        new = F.map_from_arrays(each, F.transform(each, lambda e: replaced(e, words, known)))
+        return let(new, lambda new: F.array_join(F.transform(F.split(text, ANY, -1), lambda part, i: F.concat(rewritten(part, words), F.coalesce(F.try_element_at(new, F.get(F.col("_found"), i)), F.lit("")))), ""))
 
-    def joined(between: Column) -> Column:
-        return let(F.transform(F.col("_found"), replaced), lambda new: F.concat_ws("", F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.get(new, i), F.lit(""))))))
+    def of_entities(all_: Column) -> Column:
+        known = F.map_from_arrays(F.transform(all_, lambda x: _tag(x["kind"], x["norm"])), F.transform(all_, made))
+        return let(known, lambda known: let(F.map_from_entries(F.transform(_words(each), lambda w: of_word(w, known))), lambda words: joined(words, known)))
 
-    text = F.when(F.size("_found") > 0, let(F.split("text", ANY, -1), joined)).otherwise(F.col("text"))
-    return held.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), F.size("_found").cast("long").alias("n_entities"))
+    whole = F.when(F.size("_found") > 0, let(F.array_distinct(_entities(each)), of_entities)).otherwise(text)
+    count = F.size(F.filter(F.col("_found"), lambda e: type_of(e).isNotNull())).cast("long")
+    return held.select(*(whole if c == plain[names.index("text")] else F.col(c) for c in plain), count).toDF(*names, "n_entities")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: doc_id, n_entities, and its text with surrogates."""
-    return redact(pick(table(spark, sf_dir, "documents"), "doc_id", "text")).select("doc_id", "n_entities", "text")
+    key = spark.conf.get(KEY_SETTING, KEY)
+    return redact(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), key).select("doc_id", "n_entities", "text")

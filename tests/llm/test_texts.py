@@ -119,6 +119,58 @@ def test_surrogates_stay_distinct(spark):
         assert len(set(got.values())) == 200 and not set(got.values()) & {t for _, t in texts}
 
 
+def test_surrogates_of_names(spark):
+    texts = [
+        "Mrs. Olga Braun wrote. Then Mrs. Braun left; Olga came back, and BRAUN or Brauner stayed.",
+        "Mr. Braun and Dr. John Smith", "Mr John Smith met Smith", "Госпожа Анна Петрова и Анна", "Mr. 山田 and Mr. Ωμέγα Ψι", "Miss Olga Braun",
+    ]
+    got = [r.text for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), DOCS)).orderBy("doc_id").collect()]
+    a = re.fullmatch(r"Mrs\. (\w+) (\w+a) wrote\. Then Mrs\. (\w+) left; (\w+) came back, and BRAUN or Brauner stayed\.", got[0])
+    assert a and a[2] == a[3] and a[1] == a[4] and a[1] != "Olga"
+    b = re.fullmatch(r"Mr\. (\w+) and Dr\. (\w+) (\w+)", got[1])
+    assert b and b[1] + "a" == a[2]
+    c = re.fullmatch(r"Mr (\w+) (\w+) met (\w+)", got[2])
+    assert c and c[1] == b[2] and c[2] == c[3] == b[3]
+    d = re.fullmatch(r"Госпожа ([А-Я][а-я]+) ([А-Я][а-я]+ова) и ([А-Я][а-я]+)", got[3])
+    assert d and d[1] == d[3]
+    assert "山田" in got[4] and "Ωμέγα" not in got[4] and got[5] == f"Miss {a[1]} {a[2]}"
+
+
+def test_surrogates_of_hostile_and_long_texts(spark):
+    hostile = [
+        "x@" + "a." * 100_000 + "1", "x@" + "a." * 100_000 + "com", "a" * 200_000 + "@b.org", "key=1" + "a" * 200_000, "key=" + "a" * 200_000, "1" * 200_000, "1.1." * 50_000,
+        "+1 23 " * 40_000, "Mrs. " + "A" + "b" * 200_000, "DE12 " + "ABCD " * 40_000, "(12) " * 40_000, "-".join(["123"] * 50_000), "Mr. " * 50_000,
+    ]
+    rows = list(enumerate(hostile))
+    got = {r.doc_id: r for r in pii.redact(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(got) == len(rows) and got[0].n_entities == 0 and got[2].n_entities == 0
+    assert got[3].n_entities == 1 and got[3].text != hostile[3] and len(got[3].text) == len(hostile[3])
+    assert got[5].text == hostile[5] and got[8].n_entities == 1
+
+
+def test_surrogates_against_brute_force(spark):
+    """Any two entities of a kind stay two, and no surrogate is an entity, for formats with few values."""
+    addresses = [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 8) for d in range(1, 4)]
+    people = [f"Mr. {w.capitalize()}x" for w in WORDS if len(w) > 3]
+    rows = list(enumerate(addresses + people))
+    got = [r.text for r in pii.redact(spark.createDataFrame(rows, DOCS)).orderBy("doc_id").collect()]
+    assert len(set(got)) == len(set(t for _, t in rows)) and not set(got) & {t for _, t in rows}
+
+
+def test_surrogates_of_cards_and_tokens(spark):
+    texts = ["3782 822463 10005", "4222222222222", "1234567890123", "ghp_0123456789abcdefABCDEF", "u@x.yy.c1"]
+    got = [r.text for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), DOCS)).orderBy("doc_id").collect()]
+    assert re.fullmatch(r"3\d{3} \d{6} \d{5}", got[0]) and got[0] != texts[0] and got[1][0] == "4" and got[1] != texts[1] and got[2] == texts[2]
+    assert got[3].startswith("ghp_") and got[3] != texts[3] and got[4].endswith(".yy.c1") and got[4] != texts[4]
+
+
+def test_surrogates_of_nothing_and_clashing_columns(spark):
+    assert pii.redact(spark.createDataFrame([], DOCS)).collect() == []
+    df = spark.createDataFrame([(1, "a@b.org", "x", True)], "doc_id long, text string, TEXT string, n_entities boolean")
+    out = pii.redact(df)
+    assert out.columns == ["doc_id", "text", "TEXT", "n_entities", "n_entities"] and out.collect()[0][2:4] == ("x", True)
+
+
 # --- licenses
 
 
