@@ -9,8 +9,8 @@ A source takes as many complete epochs as its target holds, then a fraction of o
 this key documents are taken while that brings the source's sum nearer to its target. So a document is taken whole,
 0 to ``most`` times.
 
-No task holds a source. Keys fall into about sqrt(n) ranges of a source of n documents; the sums of ranges tell which
-one holds the cut, and just the documents in that range are sorted.
+No task holds a source. Keys fall into about sqrt(n) ranges of a source of n documents, spread about its median key; the sums of
+ranges tell which one holds the cut, and just the documents in that range are sorted.
 
 Defined cases: an empty or null text has size 0 and nothing is taken from it; a null doc_id hashes as an empty one;
 ties of the key are ordered by doc_id and size, so equal rows share their lot in any order; an empty table gives an
@@ -41,7 +41,7 @@ def _key(doc_id: Column, weight: Column, seed: str) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """From (source, source_size, n) to the same with ``target``. One task orders the sources, one row for each."""
+    """From (source, source_size, n, median) to the same with ``target``. One task orders the sources, one row for each."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(order) - 1) % len(weights)
     weighed = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), turn + 1).cast("double"))
@@ -53,7 +53,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     found = weighed.withColumn("level", level).withColumn("capped", F.col("cap") / F.col("w") <= F.col("level"))
     open_w = F.sum(F.when(~F.col("capped"), F.col("w"))).over(every)
     rest = share * F.sum("source_size").over(every) - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(every), F.lit(0.0))
-    return found.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(rest * F.col("w") / open_w)).select("source", "source_size", "n", "target")
+    return found.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(rest * F.col("w") / open_w)).select("source", "source_size", "n", "median", "target")
 
 
 def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
@@ -61,12 +61,12 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     and ``taken``, a multiple of size."""
     keep = [c for c in sized.columns if c != "weight"]
     rows = sized.select(*keep, _key(F.col("doc_id"), F.col("weight"), seed).alias("key"))
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.percentile_approx("key", 0.5).alias("median"))
     plan = materialize(targets(totals, weights, share, most), "mix-targets")
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "_source")
     ranges = F.ceil(F.sqrt("n"))
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("range", F.least(ranges - 1, F.floor(ranges * F.col("key") / (1 + F.col("key")))))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("range", F.least(ranges - 1, F.floor(ranges * F.col("key") / (F.col("median") + F.col("key")))))
     sums = rows.groupBy("_source", "range").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     so_far = F.sum("words").over(Window.partitionBy("_source").orderBy("range"))
     cut = sums.withColumn("upto", so_far).where("upto > rest")

@@ -4,14 +4,15 @@ A document is its tokens and then ``end_id``. Pieces of exactly ``window`` token
 rest of the document goes, whole, into a partially filled sequence or a new one: of all levels h (tokens already
 filled) where it fits, the one that makes the sum over levels of N(h) squared smallest, where N(h) counts the
 sequences filled to h; on a tie the fullest. N is an array of one count for each level. When a task has placed its
-last document, it cuts what stands in unfinished sequences anew: into full ones, and the remainder into sequences
-of powers of two, which need no padding. So no sequence is padded.
+last document, what stands in the emptiest unfinished sequences is cut to fill up the fullest ones; these keep what was placed
+there. The last remainder goes into sequences of powers of two, which need no padding. So no sequence is padded.
 
 Every task packs the documents of its input split; no rows are moved. A sequence's id holds the task's partition.
 
 Tokens: the pre-tokenizer never joins across white space, so the tokens of a text are those of its words in turn,
 and each Python worker keeps the tokens of words that it has seen (from ``CACHE_WORDS`` on it starts anew). Texts with
-characters that Python and the tokenizer don't agree on as white space are encoded in one call.
+characters that Python and the tokenizer don't agree on as white space are encoded in one call. Words are put together from stem
+and mark, or encoded many at a time, only where all letters are of ASCII or Latin-1.
 
 Defined cases: a null or empty text is ``end_id`` alone; a null doc_id stays null; repeated rows are packed as often;
 an empty table gives an empty result; other columns are ignored; documents longer than a window are cut.
@@ -22,7 +23,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +35,10 @@ from bytewright.plans.columns import pick
 from bytewright.sources.tables import table
 
 NAME = "op9_packing"
-WINDOW, END_ID, CACHE_WORDS = 4096, 2, 600_000
+WINDOW, END_ID, CACHE_WORDS = 4096, 2, 250_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 class Ids:
@@ -73,8 +75,8 @@ class Ids:
 
     def _learn(self, new: set[str]) -> None:
         known = self.words
-        marked = {w for w in new if w[-1] in ".,!" and w[:-1].isalpha()}
-        letters = [w for w in {w for w in new if w.isalpha()} | {w[:-1] for w in marked} if w not in known]
+        marked = {w for w in new if w[-1] in ".,!" and _LETTERS(w[:-1])}
+        letters = [w for w in {w for w in new if _LETTERS(w)} | {w[:-1] for w in marked} if w not in known]
         for at in range(0, len(letters), 5_000):
             known.update(zip(letters[at : at + 5_000], self._encode_letters(letters[at : at + 5_000]), strict=True))
         rest = [w for w in (new - marked) | {w[-1] for w in marked} if w not in known]
@@ -111,6 +113,7 @@ class Packer:
         self.window, self.next_id = window, first_id
         self.counts = np.zeros(window + 1, np.int64)  # N(h); N(0) and N(window) stay 0
         self.open: dict[int, list[list]] = defaultdict(list)  # level -> sequences, each a list of pieces
+        self.cut = 0  # tokens that ``finish`` has moved
 
     def _new(self) -> int:
         self.next_id += 1
@@ -153,22 +156,38 @@ class Packer:
                 self.counts[level + n] += 1
 
     def finish(self) -> Iterator[tuple]:
-        left = [p for level in sorted(self.open, reverse=True) for pieces in self.open[level] for p in pieces]
-        tokens = sum(len(p[2]) // 4 for p in left)
-        sizes = [self.window] * (tokens // self.window) + [1 << b for b in range(self.window.bit_length(), -1, -1) if tokens % self.window >> b & 1]
-        left.reverse()
-        for room in sizes:
-            pieces = []
-            while room:
-                doc_id, start, ids, total = left.pop()
+        bins = deque((level, pieces) for level in sorted(self.open, reverse=True) for pieces in self.open[level])
+        self.open.clear()
+        self.counts[:] = 0
+        loose: list = []  # pieces of emptiest sequences, the next one last
+
+        def taken(room: int) -> Iterator[list]:
+            while room and loose:
+                doc_id, start, ids, total = loose.pop()
                 n = min(room, len(ids) // 4)
-                pieces.append((doc_id, start, ids[: 4 * n], total))
+                yield doc_id, start, ids[: 4 * n], total
                 if 4 * n < len(ids):
-                    left.append((doc_id, start + n, ids[4 * n :], total))
+                    loose.append((doc_id, start + n, ids[4 * n :], total))
                 room -= n
+
+        held = 0
+        while bins:
+            level, pieces = bins.popleft()
+            while held < self.window - level and bins:
+                more, emptiest = bins.pop()
+                loose[:0] = emptiest
+                held += more
+            if held < self.window - level:
+                loose[:0] = pieces
+                held += level
+                break
+            pieces = [*pieces, *taken(self.window - level)]
+            held -= self.window - level
+            self.cut += self.window - level
             yield from self._rows(pieces)
-        self.open.clear()
-        self.counts[:] = 0
+        self.cut += held
+        for size in [self.window] * (held // self.window) + [1 << b for b in range(self.window.bit_length(), -1, -1) if held % self.window >> b & 1]:
+            yield from self._rows(list(taken(size)))
 
 
 def _batches(rows: list[tuple]) -> pa.RecordBatch:

@@ -14,12 +14,17 @@ runs without white space; longer ones than ``LONGEST`` are scored in overlapping
 in turn are scored joined, too. The logistic function maps the decision to (0, 1), with its 0.3 halfway between the
 training texts of both kinds.
 
-The sample is bounded: ``SAMPLE`` labelled rows of each kind, those with the least hash of doc_id, never held-out
-ones. Labels, lang, source and doc_id are inputs of no score. Whole texts are scored, in one pass and without a
-shuffle; each Python worker keeps the scores of words seen.
+The learner sees single words (and joined short ones): an insult split over longer words is not learned.
+
+The fit is bounded: ``SAMPLE`` labelled documents of each kind, those with the least hash of doc_id, never held-out
+ones, and of each up to ``BAG`` distinct words, those with the least hash; ``OTHERS`` words drawn from clean texts, ``VARIED``
+words with variants and the ``HARD`` worst clean words in each round. Labels, lang, source and doc_id are inputs of no score. Whole
+texts are scored, in one pass and without a shuffle; each Python worker keeps the scores of up to ``CACHE_WORDS`` words.
+
+Characters are told apart within any script of up to 44 letters in a row; across scripts they may share a class.
 
 Defined cases: a null or empty text has no words and scores as the least toxic word; a null doc_id is held out never
-and joins no label; several labels of a document count as toxic if one is; without toxic or without clean training
+and joins no label; several labels of a document count as toxic if one is, and of rows that share a doc_id one is learned from; without toxic or without clean training
 texts every score is 0; repeated rows are scored as often; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -40,9 +45,10 @@ from bytewright.sources.tables import table
 NAME = "op4_toxicity"
 ORDER, DECAY, SPAN, LONGEST = 3, 0.8, 7, 24
 LANDMARKS, ROUNDS, SAMPLE, THRESHOLD = 256, 3, 600, 0.3
+BAG, OTHERS, VARIED, HARD = 4000, 3000, 500, 2500
 PURE, SLOPE = 20, 4.0  # purity of words first taken as toxic; of the logistic function
-CACHE_WORDS = 400_000
-_CODES = 48  # classes of characters
+CACHE_WORDS = 100_000  # about 15 MB
+_CODES = 72  # classes of characters
 _EDGES = ".,;:!?\"'()[]*%&$#"
 
 # Every triple of offsets i < j < k from a first character, with its weight.
@@ -105,7 +111,7 @@ class Model:
     def decide(self, words: list[str]) -> np.ndarray:
         """Of words without the marks at their ends, and of their letters alone, the larger."""
         bare = [w.strip(_EDGES) or w for w in words]
-        out = np.concatenate([np.zeros(0)] + [Kernel(bare[i : i + 5_000]).total(self.table) + self.bias for i in range(0, len(bare), 5_000)])
+        out = np.concatenate([np.zeros(0)] + [Kernel(bare[i : i + 2_000]).total(self.table) + self.bias for i in range(0, len(bare), 2_000)])
         mixed = [i for i, w in enumerate(bare) if not w.isalpha() and not any(c.isdigit() or c in "=@/" for c in w)]
         joined = [(i, w) for i in mixed if len(w := "".join(filter(str.isalpha, bare[i]))) > 3]
         if joined:  # characters put between letters
@@ -173,17 +179,26 @@ def _surplus(n_bad: int, n_good: int, all_bad: int, all_good: int) -> float:
     return 2 * (n_bad * np.log(n_bad / (share * n)) + (n_good * np.log(n_good / ((1 - share) * n)) if n_good else 0.0))
 
 
-def _without_copies(texts: list[tuple[str | None, int]]) -> list[tuple[str | None, int]]:
-    """One of each group of near copies, told by a common least hash of five words: copies are no evidence for a word."""
+def digest(text: str | None) -> tuple[list[str], list[int]]:
+    """What is learned from a text: its distinct words, and marks that near copies share (least hashes of five words)."""
+    words = (text or "").lower().split()
+    hashes = np.array([zlib.crc32(" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 4))], np.uint64)
+    marks = [int(((hashes * np.uint64(m)) % np.uint64(4294967291)).min()) for m in (1, 2654435761, 2246822519, 3266489917, 668265263, 374761393)]
+    bag = {w.strip(_EDGES) or w for w in words_of(text)}
+    if len(bag) > BAG:
+        bag = sorted(bag, key=lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w))[:BAG]
+    return sorted(bag), marks
+
+
+def _without_copies(samples: list[tuple[list[str], list[int], int]]) -> list[tuple[list[str], int]]:
+    """One of each group of near copies: copies are no evidence for a word."""
     seen: set[tuple] = set()
     kept = []
-    for text, label in texts:
-        words = (text or "").lower().split()
-        hashes = np.array([zlib.crc32(" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 4))], np.uint64)
-        marks = {(k, int(((hashes * np.uint64(m)) % np.uint64(4294967291)).min())) for k, m in enumerate((1, 2654435761, 2246822519, 3266489917, 668265263, 374761393))}
-        if not marks & seen:
-            kept.append((text, label))
-        seen |= marks
+    for bag, marks, label in samples:
+        own = set(enumerate(marks))
+        if not own & seen:
+            kept.append((bag, label))
+        seen |= own
     return kept
 
 
@@ -191,9 +206,9 @@ def _worst(bags: list[list[str]], scores: dict[str, float]) -> list[str]:
     return [max(b, key=scores.__getitem__) for b in bags]
 
 
-def train(texts: list[tuple[str | None, int]], seed: int = 7) -> Model | None:
-    """From (text, label) pairs; ``None`` without both labels. Every fourth text only serves to place the threshold."""
-    bags = [(sorted({w.strip(_EDGES) or w for w in words_of(t)}), y) for t, y in _without_copies(texts)]
+def train(samples: list[tuple[list[str], list[int], int]], seed: int = 7) -> Model | None:
+    """From digests with their labels; ``None`` without both labels. Every fourth text only serves to place the threshold."""
+    bags = _without_copies(samples)
     kinds = [[b for b, y in bags if b and bool(y) == kind] for kind in (True, False)]
     if not all(kinds):
         return None
@@ -237,9 +252,9 @@ def train(texts: list[tuple[str | None, int]], seed: int = 7) -> Model | None:
     common = sorted(of_word)
     hard: set[str] = set()
     for _ in range(ROUNDS):
-        other = [common[i] for i in rng.choice(len(common), min(len(common), 3000), replace=False)]
+        other = [common[i] for i in rng.choice(len(common), min(len(common), OTHERS), replace=False)]
         yes = sorted(positive)
-        yes += [w[:i] + chr(97 + c) + w[i:] for w in yes[:500] if len(w) > 4 for i, c in zip(rng.integers(1, len(w), 2), rng.integers(0, 26, 2), strict=True)]
+        yes += [w[:i] + chr(97 + c) + w[i:] for w in yes[:VARIED] if len(w) > 4 for i, c in zip(rng.integers(1, len(w), 2), rng.integers(0, 26, 2), strict=True)]
         no = sorted((set(other) | hard) - positive)
         first = lambda words, n: [words[i] for i in rng.choice(len(words), min(len(words), n), replace=False)]
         tough = sorted(hard - positive) or no
@@ -250,7 +265,7 @@ def train(texts: list[tuple[str | None, int]], seed: int = 7) -> Model | None:
         w, bias = _fit(Kernel(yes + no).against(marks) @ root, y)
         model = Model(np.bincount(marks.sub, marks.weight * (root @ w * marks.scale)[marks.word], _CODES**3), bias, SLOPE, 0.0)
         scores = dict(zip(common, model.decide(common).tolist(), strict=True))
-        hard |= set(sorted({w for b in good for w in sorted(b, key=lambda x: (-scores[x], x))[:2]}, key=lambda x: (-scores[x], x))[:2500])
+        hard |= set(sorted({w for b in good for w in sorted(b, key=lambda x: (-scores[x], x))[:2]}, key=lambda x: (-scores[x], x))[:HARD])
         new = sorted(set(parts) - scores.keys())
         scores.update(zip(new, model.decide(new).tolist(), strict=True))
         positive |= {x for x in _worst(bad, scores) if scores[x] > 0.5 and alike.get(x, 0.0) >= sure / 2}
@@ -269,15 +284,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[str | None, int]]:
-    """Up to ``sample`` texts of each label, without held-out ones."""
+def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[list[str], list[int], int]]:
+    """The digests and labels of up to ``sample`` documents of each label, without held-out ones."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = None
     for label in (0, 1):
         some = marked.where((F.col("toxic") != 0) == bool(label)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         drawn = some if drawn is None else drawn.unionByName(some)
-    texts = docs.where(~held_out(F.col("doc_id"))).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic")
-    return [(r.text, int(r.toxic != 0)) for r in sorted(texts.collect(), key=lambda r: (r.doc_id, r.text or ""))]
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                bags, marks = zip(*map(digest, part.column("text").to_pylist()), strict=True)
+                kinds = pa.list_(pa.string()), pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(bags, kinds[0]), pa.array(marks, kinds[1])], ["doc_id", "toxic", "bag", "marks"])
+
+    texts = docs.where(~held_out(F.col("doc_id"))).join(F.broadcast(drawn), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("toxic"), "text")
+    rows = texts.mapInArrow(digests, "doc_id long, toxic long, bag array<string>, marks array<long>")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("bag", "marks", "toxic")).alias("x")).orderBy("doc_id").collect()
+    return [(r.x.bag, r.x.marks, int(r.x.toxic != 0)) for r in one]
 
 
 _SCORES: dict[bytes, dict[str, float]] = {}

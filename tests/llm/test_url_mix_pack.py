@@ -1,7 +1,8 @@
 """Url rules, mixing and packing on small tables, against plain Python."""
 
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -117,3 +118,36 @@ def test_levels_minimise_squares():
                 best[h] = int((c**2).sum())
         low = min(best.values())
         assert p._level(n) == max(h for h, v in best.items() if v == low)
+
+
+ALPHABETS = ("abcdeABCDE", "éèöüßçñÀÇÑÜµªº", "İıŞşĞğ", "αβγΩΣς", "абвгЯЖё", "e\u0301o\u0308a\u030a", "漢字かなカナ", "ﬁﬂ①Ⅳ½", "0123456789", ".,!?;:'\"()-_@#/&")
+
+
+def test_ids_of_fuzzed_texts():
+    """Against one call of the tokenizer for each text."""
+    rng = random.Random(9)
+    ids = packing.Ids(packing.tokenizer_file())
+    texts = ["İ,", "ß.", "ÇA, é!", "a\u0301, b", "\x1c a", "<|x|> y"]
+    for _ in range(20_000):
+        letters = "".join(rng.sample(ALPHABETS, rng.choice((1, 1, 2, 3)))) + ".,!"
+        texts.append(" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 5))))
+    for at in range(0, len(texts), 1000):
+        part = texts[at : at + 1000]
+        plain = [b"".join(int(i).to_bytes(4, "little") for i in e.ids) for e in ids.encoder.encode_batch(part, add_special_tokens=False)]
+        assert [t for t, x, y in zip(part, ids.of(part), plain) if x != y] == []
+
+
+def test_most_tokens_stay_where_they_were_placed():
+    rng = random.Random(3)
+    packer, rows, total = packing.Packer(4096, 0), [], 0
+    for d in range(3000):
+        n = min(12_000, int(rng.expovariate(1 / 700)) + 1)
+        total += n
+        rows += packer.add(d, bytes(4 * n))
+    rows += packer.finish()
+    sizes = Counter()
+    for _, _, n, _, _, number, offset in rows:
+        assert offset == sizes[number]
+        sizes[number] += n
+    assert sum(sizes.values()) == total and all(n & (n - 1) == 0 for n in sizes.values())
+    assert packer.cut < 0.2 * total
