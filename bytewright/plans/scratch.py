@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -41,6 +42,9 @@ def release(spark: SparkSession) -> None:
 
 def forget(spark: SparkSession) -> None:
     """Has Spark delete the shuffle files of frames that are no longer in use, which it else does when its driver's
-    memory runs low."""
+    memory runs low, and gives freed memory of this process back to the system."""
     gc.collect()
     spark._jvm.System.gc()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
