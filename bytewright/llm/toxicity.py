@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytewright.plans.columns import pick
+from bytewright.plans.scratch import forget
 from bytewright.sources.tables import table
 
 NAME = "op4_toxicity"
@@ -214,18 +215,20 @@ def train(samples: list[tuple[list[str], list[int], int]], seed: int = 7) -> Mod
         return None
     (bad, bad_apart), (good, good_apart) = (([b for i, b in enumerate(k) if i % 4 or len(k) < 40], [b for i, b in enumerate(k) if not i % 4 or len(k) < 40]) for k in kinds)
     rng = np.random.default_rng(seed)
-    parts = {w: _parts(w) for b in bad for w in b}
     n_bad: Counter = Counter()
     for b in bad:
-        n_bad.update(set().union(*(parts[w] for w in b)))
-    wanted = {p for p, n in n_bad.items() if n > 1} or set(n_bad)
+        n_bad.update({p for w in b for p in _parts(w)})
+    n_bad = Counter({p: n for p, n in n_bad.items() if n > 1}) or n_bad
+    wanted = {p: p for p in n_bad}  # one string for each part, and tuples of these: both take little memory
+    known = lambda w: tuple(wanted[p] for p in _parts(w) if p in wanted)
+    parts = {w: known(w) for b in bad for w in b}
     n_good: Counter = Counter()
-    of_word: dict[str, set[str]] = {}
+    of_word: dict[str, tuple[str, ...]] = {}
     for b in good:
         for w in b:
             if w not in of_word:
-                of_word[w] = _parts(w) & wanted
-        n_good.update(set().union(*(of_word[w] for w in b)))
+                of_word[w] = known(w)
+        n_good.update({p for w in b for p in of_word[w]})
     worth = {p: _surplus(n_bad[p], n_good[p], len(bad), len(good)) for p in wanted}
     sure = 2 * np.log(len(wanted) + 1)  # more than the luckiest of so many parts would have by chance
     holders: dict[str, set[str]] = {}
@@ -250,6 +253,7 @@ def train(samples: list[tuple[list[str], list[int], int]], seed: int = 7) -> Mod
     if not positive:
         positive = {max(own, key=alike.__getitem__) for b in bad if (own := [w for w in b if alike.get(w, 0.0)])} or {b[0] for b in bad}
     common = sorted(of_word)
+    of_word.clear()
     hard: set[str] = set()
     for _ in range(ROUNDS):
         other = [common[i] for i in rng.choice(len(common), min(len(common), OTHERS), replace=False)]
@@ -341,7 +345,9 @@ def score_documents(docs: DataFrame, model: Model | None, keep: tuple[str, ...]
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
-    return train(training_sample(pick(docs, "doc_id", "text"), pick(labels, "doc_id", "toxic")))
+    model = train(training_sample(pick(docs, "doc_id", "text"), pick(labels, "doc_id", "toxic")))
+    forget(docs.sparkSession)  # the sample's memory
+    return model
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
