@@ -9,8 +9,8 @@ where a beam wider than ``WIDEST``, or than a quarter of the shard, is called fo
 the shard instead, so no number of partners is too large. All candidates are
 verified by cosine in double precision.
 
-Links are counted where they are found, and components need no more than a spanning forest of each task's links, so
-a large group of near copies costs no pairs. Components are unions over all tasks.
+Links are counted and united block by block of ``LOCKSTEP`` queries, and a block's pairs are dropped then: a task hands on
+numbers of links and one link for each node of a component that it has seen, never all pairs. Components are unions over all tasks.
 
 Many queries step through a graph together: each round expands the best unexpanded nodes of all beams. Graphs are
 built layer by layer, in batches that search what stands already and each other; neighbours are chosen so that none is
@@ -37,7 +37,7 @@ from bytewright.sources.tables import table
 NAME = "op1_hnsw"
 THRESHOLD, DEGREE, BUILD_BEAM, BEAM, AUDIT = 0.9, 12, 32, 32, 400
 RECALL, WIDEST = 0.99, 128
-SHARD_ROWS, BLOCK_ROWS, LOCKSTEP = 50_000, 50_000, 512
+SHARD_ROWS, BLOCK_ROWS, LOCKSTEP = 50_000, 50_000, 256
 
 
 def _top(ids: np.ndarray, sims: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
@@ -199,19 +199,12 @@ def partners(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, threshold:
     return np.concatenate(found_q), np.concatenate(found_x)
 
 
-def audited(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, threshold: float, beam: int = BEAM, audit: int = AUDIT, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """``partners`` but for ``own``, each query's own node (-1: none), with the beam doubled until the audit passes."""
+def audited(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, threshold: float, beam: int = BEAM, audit: int = AUDIT, own: np.ndarray | None = None) -> int:
+    """The beam, doubled from ``beam`` on, with which the audit passes. ``own``: each query's own node (-1: none)."""
     own = np.full(len(q), -1) if own is None else own
-
-    def others(who: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        other = own[who] != what
-        return who[other], what[other]
-
-    if beam > WIDEST or 4 * beam >= len(x):
-        return others(*partners(x, layers, q, threshold, beam))
     order = np.random.default_rng(0).permutation(len(q))
     true, at = np.zeros(len(q), np.int64), 0
-    while at < len(order) and np.count_nonzero(true) < audit:
+    while at < len(order) and np.count_nonzero(true) < audit and not (beam > WIDEST or 4 * beam >= len(x)):
         some = order[at : at + LOCKSTEP]
         near = q[some] @ x.T >= threshold + 1e-5
         held = own[some] >= 0
@@ -219,20 +212,51 @@ def audited(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, threshold: f
         true[some] = near.sum(1)
         at += len(some)
     linked = np.flatnonzero(true)
-    while True:
-        who, what = others(*partners(x, layers, q, threshold, beam))
-        got = np.minimum(np.bincount(who, minlength=len(q))[linked], true[linked])
-        if beam > WIDEST or 4 * beam >= len(x) or (got.sum() >= RECALL * true.sum() and (got / true[linked]).sum() >= RECALL * len(linked)):
-            return who, what
+    while not (beam > WIDEST or 4 * beam >= len(x)):
+        got = np.zeros(len(linked), np.int64)
+        for a in range(0, len(linked), LOCKSTEP):
+            some = linked[a : a + LOCKSTEP]
+            who, what = partners(x, layers, q[some], threshold, beam)
+            got[a : a + LOCKSTEP] = np.bincount(who[own[some][who] != what], minlength=len(some))
+        got = np.minimum(got, true[linked])
+        if got.sum() >= RECALL * true.sum() and (got / true[linked]).sum() >= RECALL * len(linked):
+            break
         beam *= 2
+    return beam
+
+
+class Labels:
+    """Components of ``n`` things, united pair by pair in arrays."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = self.of[a], self.of[b]
+        apart = a != b
+        if apart.any():
+            pairs = np.unique(np.stack([a[apart], b[apart]], 1), axis=0)
+            forest = Forest()
+            for x, y in pairs.tolist():
+                forest.join(x, y)
+            new = np.arange(len(self.of))
+            for x, y in forest.links():
+                new[x] = y
+            self.of = new[self.of]
+
+    def links(self, ids: np.ndarray) -> np.ndarray:
+        """(id, id of the first of its component) of all that aren't the first."""
+        more = np.flatnonzero(self.of != np.arange(len(self.of)))
+        return np.stack([ids[more], ids[self.of[more]]], 1)
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """``rows`` has id and v. Returns (id, key), the rows' nodes, and (key, node, copies, linked, component): nodes, how many rows
-    each stands for, how many rows its links reach, and the smallest id of its component."""
+    """``rows`` has id and v. Returns (id, key), the rows' nodes, and (key, node, copies, linked, component): nodes by numbers of
+    their own, how many rows each stands for, how many rows its links reach, and the smallest id of its component."""
     rows = rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     rows = rows.withColumn("key", F.struct(F.xxhash64("v").alias("h"), F.hash("v").alias("g"), F.size("v").alias("n")))
-    nodes = materialize(rows.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "nodes")
+    nodes = rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+    nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
     def unit(v: np.ndarray) -> np.ndarray:
         v = v / np.abs(v).max(1, keepdims=True)
@@ -249,23 +273,32 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, shard_rows: i
         ids, q_ids, x, q = index["ids"], asked["id"].to_numpy(), index["x"], unit(matrix(asked["v"]))
         at = np.minimum(np.searchsorted(ids, q_ids), len(ids) - 1)  # a shard's ids are in order
         own = np.where(ids[at] == q_ids, at, -1)
-        who, what = audited(x.astype(np.float32), layers, q.astype(np.float32), threshold, own=own)
-        exact = np.concatenate([np.zeros(0, bool)] + [(q[who[a : a + 65536]] * x[what[a : a + 65536]]).sum(1) >= threshold for a in range(0, len(who), 65536)])
-        who, what = who[exact], what[exact]
-        reach = np.bincount(who, index["copies"][what], len(q)).astype(np.int64)
-        forest = Forest()
-        for a, b in zip(q_ids[who].tolist(), ids[what].tolist(), strict=True):
-            forest.join(a, b)
-        links = np.array(forest.links(), np.int64).reshape(-1, 2)
+        low, low_q = x.astype(np.float32), q.astype(np.float32)
+        beam = audited(low, layers, low_q, threshold, own=own)
+        labels, reach = Labels(len(x) + len(q)), np.zeros(len(q), np.int64)
+        labels.join(np.flatnonzero(own >= 0) + len(x), own[own >= 0])
+        for at in range(0, len(q), LOCKSTEP):
+            who, what = partners(low, layers, low_q[at : at + LOCKSTEP], threshold, beam)
+            who = who + at
+            other = own[who] != what
+            who, what = who[other], what[other]
+            exact = np.concatenate([np.zeros(0, bool)] + [(q[who[a : a + 65536]] * x[what[a : a + 65536]]).sum(1) >= threshold for a in range(0, len(who), 65536)])
+            who, what = who[exact], what[exact]
+            reach += np.bincount(who, index["copies"][what], len(q)).astype(np.int64)
+            labels.join(who + len(x), what)
+        links = labels.links(np.concatenate([ids, q_ids]))
+        links = links[links[:, 0] != links[:, 1]]
         some = reach > 0
         return pd.DataFrame({"a": np.concatenate([links[:, 0], q_ids[some]]), "b": np.concatenate([links[:, 1], q_ids[some]]), "reach": np.concatenate([np.zeros(len(links), np.int64), reach[some]])})
 
     vectors = nodes.select("id", "v", "copies")
     found = materialize(against_shards(vectors, vectors.drop("copies"), build, search, "a long, b long, reach long", shard_rows, block_rows), "found")
     reach = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("reach").alias("reach"))
-    whole = components(found.where("a != b")).withColumnRenamed("node", "id")
-    out = nodes.select("key", "id", "copies").join(reach, "id", "left").join(whole, "id", "left")
-    out = out.select("key", F.col("id").alias("node"), "copies", F.coalesce("reach", F.lit(0)).alias("linked"), F.coalesce("component", "id").alias("component"))
+    groups = materialize(components(found.where("a != b")).withColumnRenamed("node", "id"), "groups")
+    least = materialize(groups.join(nodes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("smallest")), "smallest")
+    whole = groups.join(least, "component").select("id", "smallest")
+    out = nodes.select("key", "id", "least", "copies").join(reach, "id", "left").join(whole, "id", "left")
+    out = out.select("key", F.col("id").alias("node"), "copies", F.coalesce("reach", F.lit(0)).alias("linked"), F.coalesce("smallest", "least").alias("component"))
     return rows.select("id", "key"), out
 
 
@@ -277,3 +310,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = rows.where(F.col("id").isNull() | ~usable(F.col("v"))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(rest).withColumnRenamed("id", "vec_id")
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE r AS (SELECT row_number() OVER () AS n, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+v AS (SELECT * FROM r WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.n AS a, b.n AS b FROM v AS a JOIN v AS b ON a.n <> b.n AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+c(n, root) AS (SELECT n, vec_id FROM r UNION SELECT p.b, c.root FROM c JOIN p ON p.a = c.n)
+SELECT r.vec_id, coalesce(l.n_links, 0) AS n_links, m.root AS component_id, r.vec_id = m.root AS kept
+FROM r LEFT JOIN (SELECT a, count(*) AS n_links FROM p GROUP BY a) l ON l.a = r.n JOIN (SELECT n, min(root) AS root FROM c GROUP BY n) m ON m.n = r.n
+"""

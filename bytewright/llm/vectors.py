@@ -43,16 +43,18 @@ def against_shards(
     schema: str,
     shard_rows: int,
     block_rows: int,
-    least_shards: int = 12,
+    least_tasks: int = 12,
+    few_rows: int = 2_000,
 ) -> DataFrame:
     """Every query against every shard.
 
     ``rows`` and ``queries`` have id and v (array<double>); vectors of different lengths never meet. Rows go to shards
     of up to about ``shard_rows`` by a hash of their id; ``build`` makes a shard's index, which is written as one row
     of the shared folder. Queries go to blocks of about ``block_rows``; each pair of a shard and a block is one task's
-    work, of bounded size."""
+    work, of bounded size. Smaller tables are cut for ``least_tasks`` tasks, but not into shards below ``few_rows``."""
     n_rows, n_queries = rows.count(), queries.count()
-    shards, blocks = max(least_shards, math.ceil(n_rows / shard_rows)), max(1, math.ceil(n_queries / block_rows))
+    shards = max(math.ceil(n_rows / shard_rows), min(least_tasks, n_rows // few_rows), 1)
+    blocks = max(math.ceil(n_queries / block_rows), math.ceil(least_tasks / shards) if n_queries > least_tasks else 1)
     dealt = rows.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
 
     def built(key: tuple, part: pd.DataFrame) -> pd.DataFrame:

@@ -56,8 +56,9 @@ def build_tree(x: np.ndarray, radius: float, seed: int, leaf: int = LEAF) -> dic
     return {"order": np.concatenate(order), "leaf_start": np.array(starts), "points": np.array(vantages).reshape(-1, full.shape[1]), "owner": owner, "vantage": vantage, "low": low, "high": high}
 
 
-def search_tree(tree: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, radius: float, k: int, factor: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query (ids, scores) of its k nearest, best first. ``x`` and ``ids`` are in leaf order."""
+def search_tree(tree: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, radius: float, k: int, factor: float, scanned: list[float] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (ids, scores) of its k nearest, best first. ``x`` and ``ids`` are in leaf order. ``scanned`` gets the share of
+    leaves that each query scanned."""
     starts, n = tree["leaf_start"], len(q)
     leaves = len(starts) - 1
     bound = np.zeros((n, leaves))
@@ -93,12 +94,14 @@ def search_tree(tree: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, q:
         limit = np.sqrt(np.maximum(reach - 2 * best[:, -1], 0))
         if len(who := np.flatnonzero(~done[:, leaf] & (bound[:, leaf] * factor <= limit))):
             scan(int(leaf), who)
+    if scanned is not None:
+        scanned.extend(done.mean(1).tolist())
     out = []
     for i in range(n):
         at = np.concatenate([a for a, _ in kept[i]]) if kept[i] else np.zeros(0, int)
         s = np.concatenate([b for _, b in kept[i]]) if kept[i] else np.zeros(0)
         at = at[(s >= best[i, -1] - 1e-9) & (s > -np.inf)]
-        exact = np.array([np.dot(x[j], q[i]) for j in at]) if len(at) < 4 * k else (x[at] * q[i]).sum(1)
+        exact = (x[at] * q[i]).sum(1)  # one sum for all shards, so equal vectors tie
         top = np.lexsort((ids[at], -exact))[:k]
         out.append((ids[at][top], exact[top]))
     return out
