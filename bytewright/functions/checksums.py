@@ -10,11 +10,13 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from bytewright.plans.scratch import materialize
+
 ADLER = 65521
 CRC32, CRC32C, CRC64_XZ = 0xEDB88320, 0x82F63B78, 0xC96C5795D7870F42
 
@@ -178,24 +180,35 @@ def _combiner(poly: int):
 crc32_combine, crc32c_combine = _combiner(CRC32), _combiner(CRC32C)
 
 
-def adler32_merge(rows, group: list[str], order: str, value: str, length: str):
-    """Adler-32 of each group's pieces joined in order, as sums: s1 adds up; a piece's s1 counts once more for every byte
-    behind it. One window sum of lengths per group, no bytes."""
-    from pyspark.sql import Window
+def _behind(rows: DataFrame, group: list[str], order: str, length: str) -> DataFrame:
+    """``rows`` with ``_behind``, the sum of ``length`` over a group's rows later in order. Rows are cut into ranges by group and
+    order, whatever the groups' sizes; sums of ranges are added up, and rows just within their range."""
+    dealt = rows.repartitionByRange(*group, order).withColumn("_range", F.spark_partition_id())
+    dealt = materialize(dealt, "merge-ranges")
+    later = Window.partitionBy(*group).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*group, "_range").agg(F.sum(length).alias("_sum")).withColumn("_later", F.coalesce(F.sum("_sum").over(later), F.lit(0)))
+    sums = sums.select(*(F.col(g).alias(f"_g_{g}") for g in group), F.col("_range").alias("_r"), "_later")
+    same = F.col("_range") == F.col("_r")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    inside = Window.partitionBy(*group, "_range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_inside", F.coalesce(F.sum(length).over(inside), F.lit(0))).join(sums, same)
+    return placed.withColumn("_behind", F.col("_inside") + F.col("_later")).select(*rows.columns, "_behind")
+
 
-    behind = F.coalesce(F.sum(length).over(Window.partitionBy(*group).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = rows.withColumn("_behind", behind % ADLER).withColumn("_a", F.col(value).bitwiseAND(65535) - 1).withColumn("_b", F.shiftright(value, 16) - F.col(length) % ADLER)
-    sums = parts.groupBy(*group).agg(F.sum("_a").alias("_a"), F.sum((F.col("_b") + F.col("_a") * F.col("_behind")) % ADLER).alias("_b"), F.sum(length).alias("_n"))
+def adler32_merge(rows: DataFrame, group: list[str], order: str, value: str, length: str) -> DataFrame:
+    """Adler-32 of each group's pieces joined in order, as sums: s1 adds up; a piece's s1 counts once more for every byte
+    behind it."""
+    parts = _behind(rows.select(*group, order, value, length), group, order, length)
+    parts = parts.withColumn("_a", F.col(value).bitwiseAND(65535) - 1).withColumn("_b", F.shiftright(value, 16) - F.col(length) % ADLER)
+    sums = parts.groupBy(*group).agg(F.sum("_a").alias("_a"), F.sum((F.col("_b") + F.col("_a") * (F.col("_behind") % ADLER)) % ADLER).alias("_b"), F.sum(length).alias("_n"))
     s1, s2 = F.pmod(F.col("_a") + 1, F.lit(ADLER)), F.pmod(F.col("_b") + F.col("_n") % ADLER, F.lit(ADLER))
     return sums.select(*group, F.shiftleft(s2, 16).bitwiseOR(s1).alias(value), F.col("_n").alias(length))
 
 
-def crc32_merge(rows, group: list[str], order: str, value: str, length: str, poly: int = CRC32):
+def crc32_merge(rows: DataFrame, group: list[str], order: str, value: str, length: str, poly: int = CRC32) -> DataFrame:
     """CRC of each group's pieces joined in order: crc * x^(8 * bytes behind), summed modulo 2. Each piece is shifted on
     its own, so a group of any size is an ordinary aggregate."""
-    from pyspark.sql import Window
-
-    behind = F.coalesce(F.sum(length).over(Window.partitionBy(*group).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = _combiner(poly)
-    parts = rows.withColumn("_behind", behind).withColumn("_c", shift(F.col(value), F.lit(0).cast("long"), F.col("_behind")))
+    parts = _behind(rows.select(*group, order, value, length), group, order, length).withColumn("_c", shift(F.col(value), F.lit(0).cast("long"), F.col("_behind")))
     return parts.groupBy(*group).agg(F.bit_xor("_c").alias(value), F.sum(length).alias(length))

@@ -41,7 +41,7 @@ def gzip_header(level: int = 6, mtime: int = 0, os: int = 255, name: bytes | Non
 
 
 def _deflate(data: bytes, container: str, level: int, strategy: str, dictionary: bytes | None) -> bytes:
-    level = min(level, 9)
+    level = min(level, 9)  # the library has no parser for levels 10 to 12, which ask for smaller output: they get its best
     z = zlib.compressobj(level, zlib.DEFLATED, -15 if container == "gzip" else _WBITS[container], 9, _STRATEGIES[strategy], *([dictionary] if dictionary else []))
     body = z.compress(data) + z.flush()
     return gzip_header(level) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF) if container == "gzip" else body
@@ -96,7 +96,7 @@ def _inflate(data: bytes, container: str, members: str, dictionary: bytes | None
     out, at = [], 0
     room = limit
     while True:
-        z = zlib.decompressobj(_WBITS[container], *([dictionary] if dictionary and container == "raw" else []))
+        z = zlib.decompressobj(_WBITS[container], *([dictionary] if dictionary and container != "gzip" else []))
         try:
             piece = z.decompress(data[at:], room + 1)
         except zlib.error as e:

@@ -1,4 +1,4 @@
-"""Byte-level analytics as DataFrame operations: histograms, entropy, runs, block splits, costs, d-mers, cut points.
+"""Byte-level analytics as DataFrame operations: histograms, entropy, runs, block splits, costs, d-mers.
 
 Counts within one value are taken over Arrow batches; across values they are partial aggregates, so a column of any
 size is one shuffle of at most 256 rows for each task and group. ``byte_rows`` is the plain SQL form, a row a byte."""
@@ -94,20 +94,32 @@ def deflate_costs(histogram: DataFrame, key: str) -> DataFrame:
     return sums.select(key, stored.cast("long").alias("stored_bits"), fixed.cast("long").alias("fixed_bits"), F.when(stored < fixed, "stored").otherwise("fixed").alias("kind"))
 
 
-def dmers(rows: DataFrame, data: str) -> DataFrame:
+def dmers(rows: DataFrame, data: str, at_once: int = 4_000_000) -> DataFrame:
     """(dmer, n): strings of eight bytes, as hexadecimal digits, by how many positions they stand at. The most frequent
-    are what a trained dictionary holds."""
+    are what a trained dictionary holds. Tasks count ``at_once`` positions before they hand on."""
 
-    def counted(v: np.ndarray) -> np.ndarray:
-        if len(v) < 8:
-            return np.zeros((0, 2), np.int64)
-        whole = np.zeros(len(v) - 7, np.uint64)
-        for k in range(8):
-            whole = whole << np.uint64(8) | v[k : k + len(whole)].astype(np.uint64)
-        found, n = np.unique(whole, return_counts=True)
-        return np.stack([found.view(np.int64), n], 1)
-
-    counts = _mapped(rows, data, (), "dmer long, n long", counted).groupBy("dmer").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["dmer", "n"])
+
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                v = np.frombuffer(value or b"", np.uint8)
+                if len(v) < 8:
+                    continue
+                held.append(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(v, 8)).view(">u8").ravel().astype(np.uint64))
+                size += len(held[-1])
+                if size >= at_once:
+                    yield counted()
+                    size = 0
+        if held:
+            yield counted()
+
+    counts = rows.select(data).mapInArrow(run, "dmer long, n long").groupBy("dmer").agg(F.sum("n").alias("n"))
     return counts.select(F.lpad(F.hex("dmer"), 16, "0").alias("dmer"), "n")
 
 

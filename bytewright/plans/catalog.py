@@ -164,12 +164,36 @@ def _crc_sql(poly: int, name: str, outer: str = "{}") -> str:
     return f"WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents), r AS (SELECT doc_id, xor({fold}, 4294967295) AS c FROM x) SELECT doc_id, {outer.format('c')} AS {name} FROM r"
 
 
+def _crc32_bzip2_sql() -> str:
+    """The same from the top bit down."""
+    table = []
+    for i in range(256):
+        c = i << 24
+        for _ in range(8):
+            c = (c << 1 ^ (0x04C11DB7 if c >> 31 else 0)) & 0xFFFFFFFF
+        table.append(c)
+    fold = f"list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda i: ('0x' || i)::BIGINT)), lambda c, d: xor((c & 16777215) << 8, ([{', '.join(map(str, table))}])[1 + xor(c >> 24, d)]::BIGINT))"
+    return f"WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents) SELECT doc_id, xor({fold}, 4294967295) AS crc32_bzip2 FROM x"
+
+
+def _crc64_xz_sql() -> str:
+    table = ", ".join(map(str, C.crc_table(C.CRC64_XZ)))
+    full = "18446744073709551615::UBIGINT"
+    fold = f"list_reduce(list_prepend({full}, list_transform(regexp_extract_all(h, '..'), lambda i: ('0x' || i)::UBIGINT)), lambda c, d: xor(c >> 8, ([{table}]::UBIGINT[])[1 + (xor(c, d) & 255)::BIGINT]))"
+    return f"WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents) SELECT doc_id, lpad(lower(to_hex(xor({fold}, {full}))), 16, '0') AS crc64_xz FROM x"
+
+
 def oracle_sql() -> dict[str, str]:
     md5 = "SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents"
     one_unit = "SELECT doc_id, 1::BIGINT AS n_units, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents"
     n = "octet_length(encode(coalesce(text, '')))::BIGINT"
     deflate = "n + 5 * (n // 5000 + n // 65535 + 2) + 8"
+    whole = _crc_sql(C.CRC32, "crc32").replace("SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents", "SELECT source, hex(encode(string_agg(coalesce(text, ''), '' ORDER BY doc_id))) AS h, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS n FROM documents GROUP BY source").replace("SELECT doc_id, xor(", "SELECT source, n, xor(").replace("SELECT doc_id, c AS crc32", "SELECT source, n AS n_bytes, c AS crc32")
     found = {
+        "crc32_combine_by_source": whole,
+        "crc32_bzip2_documents": _crc32_bzip2_sql(),
+        "crc64_xz_documents": _crc64_xz_sql(),
+        "units_lz4": f"SELECT doc_id, CAST(({n} + 4194303) // 4194304 AS BIGINT) AS n_units, 0::BIGINT AS n_bytes FROM documents WHERE {n} > 0",  # its blocks declare no decoded size
         "adler32_documents": f"WITH {_BYTES}, s AS (SELECT doc_id, (1 + sum(byte)) % 65521 AS a, (any_value(n) + sum((n - pos) * byte)) % 65521 AS b FROM y GROUP BY doc_id) SELECT b.doc_id, CAST(coalesce(s.b * 65536 + s.a, 1) AS BIGINT) AS adler32 FROM b LEFT JOIN s USING (doc_id)",
         "crc32c_documents": _crc_sql(C.CRC32C, "crc32c"),
         "crc32_documents": _crc_sql(C.CRC32, "crc32"),

@@ -1,4 +1,4 @@
-"""Python data sources: generated inputs, corpus files, compressed units; and a writer of one object per row.
+"""Python data sources: generated inputs and corpus files; and a writer of one object per row.
 
 ``spark.dataSource.register`` each class, then ``spark.read.format("generated").option("spec", "text 1 65536")`` and so on."""
 

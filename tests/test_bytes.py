@@ -209,3 +209,22 @@ def test_runs_and_histogram(spark):
     df = spark.createDataFrame([(1, b"aaab"), (2, b""), (3, None)], "k long, v binary")
     assert [(r.start, r.length, r.byte) for r in analysis.runs(df, "v", "k").collect()] == [(0, 3, 97)]
     assert {(r.byte, r.n) for r in analysis.byte_histogram(df, "v").collect()} == {(97, 3), (98, 1)}
+
+
+@pytest.mark.parametrize("codec", ["zlib", "raw", "zstd"])
+def test_dictionaries_come_back(codec):
+    d, v = b"the quick brown fox jumps over " * 20, b"quick brown fox jumps over the lazy dog"
+    packed = codecs.compress_bytes(v, codec, dictionary=d)
+    assert codecs.decompress_bytes(packed, codec, dictionary=d)[0] == v
+    if codec == "zlib":
+        with pytest.raises(codecs.Refused):
+            codecs.decompress_bytes(packed, codec)
+
+
+def test_merges_of_groups_in_many_ranges(spark):
+    """Groups of any size, null ones too, against the whole."""
+    rows = [(None if i % 7 == 0 else f"g{i % 3 // 2}", i, bytes([i % 251]) * (i % 40)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, o long, v binary").select("g", "o", checksums.crc32("v").alias("c"), checksums.adler32("v").alias("a"), F.octet_length("v").cast("long").alias("n"))
+    for merge, column, plain in ((checksums.crc32_merge, "c", zlib.crc32), (checksums.adler32_merge, "a", zlib.adler32)):
+        got = {r["g"]: r[column] for r in merge(df, ["g"], "o", column, "n").collect()}
+        assert got == {g: plain(b"".join(v for h, _, v in rows if h == g)) for g in {g for g, _, _ in rows}}
