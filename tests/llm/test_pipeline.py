@@ -51,3 +51,31 @@ def test_query_against_sql(spark, name):
 def test_all_are_registered():
     names = __spark_entry__.queries().keys()
     assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
+
+
+KINDS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeats, ties, clashing columns."""
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, near), (None, near + " x"), (None, near), (2, near), (2, "other text of its own here"), (3, None), (4, ""), (4, ""), (None, None), (5, "Mrs. Olga Braun wrote to a@b.org")]
+    docs = spark.createDataFrame([(d, t, None, "s" if d else None, 7, "c") for d, t in rows], KINDS + ", TEXT string")
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    kept = corpus_pipeline.drop_toxic(spark, docs, SF)
+    assert kept.columns == list(corpus_pipeline.COLUMNS) and texts(kept) == sorted(rows, key=repr)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert texts(kept) == sorted((r for r in rows if r[1] is None or not r[1].startswith("w0") or r[0] == 1), key=repr)
+    private = corpus_pipeline.replace_personal_data(spark, docs, SF)
+    got = {r.doc_id: r for r in private.collect() if r.doc_id == 5}
+    assert private.count() == len(rows) and "Braun" not in got[5].text and got[5].n_chars == len(got[5].text)
+    mixed = Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, SF).collect())
+    assert max(mixed.values()) <= 8 and mixed.keys() <= {d for d, _ in rows}
+    packed = corpus_pipeline.pack(spark, docs, SF).collect()
+    assert sum(r.start == 0 for r in packed) == len(rows)
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], KINDS)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).collect() == []
