@@ -73,6 +73,15 @@ def combine_crc(a: int, b: int, len_b: int, poly: int = CRC32, bits: int = 32) -
     return _times(_x_power(8 * len_b, poly, bits), a, poly, bits) ^ b
 
 
+def crc_operator(len_b: int, poly: int = CRC32, bits: int = 32) -> int:
+    """What ``crc_apply`` takes for appending ``len_b`` bytes: made once for pieces of one size."""
+    return _x_power(8 * len_b, poly, bits)
+
+
+def crc_apply(a: int, b: int, operator: int, poly: int = CRC32, bits: int = 32) -> int:
+    return _times(operator, a, poly, bits) ^ b
+
+
 def combine_adler(a: int, b: int, len_b: int) -> int:
     s1 = (a % 65536 + b % 65536 - 1) % ADLER
     s2 = (a // 65536 + b // 65536 + len_b % ADLER * (a % 65536 - 1)) % ADLER

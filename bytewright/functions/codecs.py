@@ -40,11 +40,32 @@ def gzip_header(level: int = 6, mtime: int = 0, os: int = 255, name: bytes | Non
     return out + (struct.pack("<H", zlib.crc32(out) & 65535) if header_crc else b"")
 
 
-def _deflate(data: bytes, container: str, level: int, strategy: str, dictionary: bytes | None) -> bytes:
+def detect(accept: str, first: bytes) -> str:
+    """The container by the first two bytes: ``zlib_or_raw`` is zlib where they form its header, ``gzip_or_zlib`` gzip where
+    they are its magic number."""
+    if accept == "gzip_or_zlib":
+        return "gzip" if first[:2] == b"\x1f\x8b" else "zlib"
+    header = len(first) >= 2 and (first[0] << 8 | first[1]) % 31 == 0 and first[0] & 15 == 8 and first[0] >> 4 <= 7
+    return "zlib" if header else "raw"
+
+
+def snappy_concat(blocks: list[bytes]) -> bytes:
+    """One Snappy block that decodes to all of these in order: their lengths summed, their elements as they are."""
+    sizes = [_varint(b) for b in blocks]
+    total, head = sum(n for n, _ in sizes), bytearray()
+    if total >= 1 << 32:
+        raise Refused("OutputTooSmall", "length")
+    while total >= 128:
+        head.append(total & 127 | 128)
+        total >>= 7
+    return bytes([*head, total]) + b"".join(b[at:] for b, (_, at) in zip(blocks, sizes, strict=True))
+
+
+def _deflate(data: bytes, container: str, level: int, strategy: str, dictionary: bytes | None, **header) -> bytes:
     level = min(level, 9)  # the library has no parser for levels 10 to 12, which ask for smaller output: they get its best
     z = zlib.compressobj(level, zlib.DEFLATED, -15 if container == "gzip" else _WBITS[container], 9, _STRATEGIES[strategy], *([dictionary] if dictionary else []))
     body = z.compress(data) + z.flush()
-    return gzip_header(level) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF) if container == "gzip" else body
+    return gzip_header(level, **header) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF) if container == "gzip" else body
 
 
 def _snappy(data: bytes) -> bytes:
@@ -67,19 +88,28 @@ def _snappy_stream(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def compress_bytes(data: bytes, codec: str, level: int | None = None, strategy: str = "default", dictionary: bytes | None = None) -> bytes:
+_CHECKS = {"none": lzma.CHECK_NONE, "crc32": lzma.CHECK_CRC32, "crc64": lzma.CHECK_CRC64, "sha256": lzma.CHECK_SHA256}
+
+
+def compress_bytes(data: bytes, codec: str, level: int | None = None, strategy: str = "default", dictionary: bytes | None = None, **options) -> bytes:
+    """Options: of gzip its header's fields (``gzip_header``); of zstd checksum, content_size and dictionary_id, each whether it
+    is written; of xz check (none, crc32, crc64, sha256) and filters; of lzma filters, as the lzma module takes them."""
+    known = {"gzip": {"mtime", "os", "name", "comment", "extra", "header_crc"}, "zstd": {"checksum", "content_size", "dictionary_id"}, "xz": {"check", "filters"}, "lzma": {"filters"}}.get(codec, set())
+    if set(options) - known:
+        raise ValueError(f"no options {sorted(set(options) - known)} of {codec}")
     if codec in _WBITS:
-        return _deflate(data, codec, 6 if level is None else level, strategy, dictionary)
+        return _deflate(data, codec, 6 if level is None else level, strategy, dictionary, **options)
     if codec == "zstd":
         import zstandard as z
 
-        return z.ZstdCompressor(level=level or 3, dict_data=z.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True).compress(data)
+        flags = {"write_checksum": options.get("checksum", True), "write_content_size": options.get("content_size", True), "write_dict_id": options.get("dictionary_id", True)}
+        return z.ZstdCompressor(level=level or 3, dict_data=z.ZstdCompressionDict(dictionary) if dictionary else None, **flags).compress(data)
     if codec == "bzip2":
         return bz2.compress(data, level or 9)
     if codec == "xz":
-        return lzma.compress(data, preset=level)
+        return lzma.compress(data, check=_CHECKS[options.get("check", "crc64")], preset=level, filters=options.get("filters"))
     if codec == "lzma":
-        return lzma.compress(data, lzma.FORMAT_ALONE, preset=level)
+        return lzma.compress(data, lzma.FORMAT_ALONE, preset=level, filters=options.get("filters"))
     if codec == "snappy":
         return _snappy(data)
     if codec == "snappy_stream":
@@ -163,8 +193,8 @@ def _unsnappy_stream(data: bytes, limit: int) -> bytes:
     return b"".join(out)
 
 
-def _stream(data: bytes, make: Callable, errors: tuple, members: str, limit: int) -> tuple[bytes, int]:
-    """Standard library decompressors that stop at a stream's end."""
+def _stream(data: bytes, make: Callable, errors: tuple, members: str, limit: int, padded: bool = False) -> tuple[bytes, int]:
+    """Standard library decompressors that stop at a stream's end; ``padded``: zeros by fours may stand behind it."""
     out, at = [], 0
     while at < len(data):
         z = make()
@@ -181,6 +211,8 @@ def _stream(data: bytes, make: Callable, errors: tuple, members: str, limit: int
         at = len(data) - len(z.unused_data)
         if members == "one":
             break
+        while padded and data[at : at + 4] == bytes(4):
+            at += 4
     if not out:
         raise Refused("Truncated", "empty")
     return b"".join(out), at
@@ -188,12 +220,14 @@ def _stream(data: bytes, make: Callable, errors: tuple, members: str, limit: int
 
 def decompress_bytes(data: bytes, codec: str, members: str = "all", dictionary: bytes | None = None, limit: int = MAX_OUTPUT, size: int | None = None) -> tuple[bytes, int]:
     """Decoded bytes and how many were read."""
+    if codec in ("zlib_or_raw", "gzip_or_zlib"):
+        codec = detect(codec, data[:2])
     if codec in _WBITS:
         return _inflate(data, codec, members, dictionary, limit)[:2]
     if codec == "bzip2":
         return _stream(data, bz2.BZ2Decompressor, (OSError, EOFError), members, limit)
     if codec == "xz":
-        return _stream(data, lzma.LZMADecompressor, (lzma.LZMAError, EOFError), members, limit)
+        return _stream(data, lzma.LZMADecompressor, (lzma.LZMAError, EOFError), members, limit, True)
     if codec == "lzma":
         return _stream(data, lambda: lzma.LZMADecompressor(lzma.FORMAT_ALONE), (lzma.LZMAError, EOFError), "one", limit)
     if codec == "snappy":
@@ -251,10 +285,10 @@ def decompress_bytes(data: bytes, codec: str, members: str = "all", dictionary:
     raise ValueError(f"no decoder for {codec}")
 
 
-def compress(data: Column, codec: str, level: int | None = None, strategy: str = "default", dictionary: bytes | None = None) -> Column:
+def compress(data: Column, codec: str, level: int | None = None, strategy: str = "default", dictionary: bytes | None = None, **options) -> Column:
     @pandas_udf("binary")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else compress_bytes(bytes(v), codec, level, strategy, dictionary))
+        return values.map(lambda v: None if v is None else compress_bytes(bytes(v), codec, level, strategy, dictionary, **options))
 
     return run(data)
 
@@ -294,6 +328,16 @@ def decompress_prefix(data: Column, codec: str, n: int) -> Column:
     return run(data)
 
 
+def concat_blocks(blocks: Column) -> Column:
+    """An array of Snappy blocks as one block."""
+
+    @pandas_udf("binary")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else snappy_concat([bytes(b) for b in v]))
+
+    return run(blocks)
+
+
 def bound(n: Column, codec: str) -> Column:
     """The most bytes that encoding ``n`` bytes can give."""
     div = lambda a, b: F.floor(a / b)

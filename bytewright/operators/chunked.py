@@ -79,6 +79,21 @@ def bgzf(objects: DataFrame, level: int = 6) -> DataFrame:
     return rows.select("path", "seq", "block", out.alias("out_offset"), at.alias("in_offset"), F.shiftleft(at, 16).alias("voffset"))
 
 
+def bgzf_objects(objects: DataFrame, level: int = 6) -> DataFrame:
+    """(path, content): the blocks of each object joined, with the empty block at the end; an empty object is that alone."""
+
+    @pandas_udf("binary")
+    def join(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda rows: b"".join(bytes(r["block"]) for r in rows if r["n"]) + BGZF_END)
+
+    @pandas_udf("binary")
+    def encode(chunk: pd.Series) -> pd.Series:
+        return chunk.map(lambda c: bgzf_block(bytes(c), level))
+
+    rows = chunks(objects, BGZF_INPUT, 0).select("path", "seq", F.octet_length("chunk").alias("n"), encode("chunk").alias("block"))
+    return rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "block"))).alias("parts")).select("path", join("parts").alias("content"))
+
+
 def find(points: DataFrame, asked: DataFrame) -> DataFrame:
     """For each (path, offset) asked, the unit of ``points`` (path, out_offset, ...) that holds it: the last at or before.
     An as-of join as a union and a window: each side is shuffled once by path, no pairs."""

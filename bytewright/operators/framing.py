@@ -52,7 +52,11 @@ def gzip_members(data: bytes) -> Iterator[Unit]:
                     raise Bad(len(data), "Truncated")
                 attrs[name] = data[end:stop].decode("latin-1")
                 end = stop + 1
-        end += 2 if flags & 2 else 0
+        if flags & 2:
+            _need(data, end, 2)
+            if zlib.crc32(data[at:end]) & 0xFFFF != struct.unpack_from("<H", data, end)[0]:
+                raise Bad(end, "ChecksumMismatch")
+            end += 2
         z = zlib.decompressobj(-15)
         try:
             size = len(z.decompress(data[end:]))
@@ -186,7 +190,7 @@ def snappy_chunks(data: bytes) -> Iterator[Unit]:
 
 
 def xz_blocks(data: bytes) -> Iterator[Unit]:
-    """From the index in front of the footer, without decoding a block."""
+    """From the indexes in front of the footers, without decoding a block; of all streams, with padding behind them."""
 
     def number(pos: int) -> tuple[int, int]:
         value = 0
@@ -197,19 +201,36 @@ def xz_blocks(data: bytes) -> Iterator[Unit]:
                 return value, pos + i + 1
         raise Bad(pos, "InvalidIndex")
 
-    if len(data) < 32 or data[:6] != b"\xfd7zXZ\0" or data[-2:] != b"YZ":
-        raise Bad(0, "InvalidHeader")
-    size = 4 * (struct.unpack_from("<I", data, len(data) - 8)[0] + 1)
-    start = len(data) - 12 - size
-    if start < 12 or data[start] != 0 or zlib.crc32(data[start : start + size - 4]) != struct.unpack_from("<I", data, start + size - 4)[0]:
-        raise Bad(max(start, 0), "InvalidIndex")
-    count, pos = number(start + 1)
-    at = 12
-    for _ in range(count):
-        unpadded, pos = number(pos)
-        out, pos = number(pos)
-        yield "block", at, unpadded + 3 & ~3, out, None, {"unpadded": str(unpadded)}
-        at += unpadded + 3 & ~3
+    def stream(end: int) -> tuple[int, int, list[tuple[int, int]]]:
+        """Start, check and records of the stream that ends there."""
+        if end < 32 or data[end - 2 : end] != b"YZ":
+            raise Bad(0, "InvalidHeader")
+        flags, size = data[end - 4 : end - 2], 4 * (struct.unpack_from("<I", data, end - 8)[0] + 1)
+        index = end - 12 - size
+        sound = index >= 12 and data[index] == 0 and zlib.crc32(data[index : end - 16]) == struct.unpack_from("<I", data, end - 16)[0]
+        if not sound or zlib.crc32(data[end - 8 : end - 2]) != struct.unpack_from("<I", data, end - 12)[0]:
+            raise Bad(max(index, 0), "InvalidIndex")
+        records, (count, pos) = [], number(index + 1)
+        for _ in range(count):
+            unpadded, pos = number(pos)
+            out, pos = number(pos)
+            records.append((unpadded, out))
+        start = index - 12 - sum(u + 3 & ~3 for u, _ in records)
+        if start < 0 or data[start : start + 8] != b"\xfd7zXZ\0" + flags or zlib.crc32(flags) != struct.unpack_from("<I", data, start + 8)[0]:
+            raise Bad(max(start, 0), "InvalidHeader")
+        return start, flags[1], records
+
+    streams, end = [], len(data)
+    while end or not streams:
+        while end >= 4 and data[end - 4 : end] == bytes(4):  # padding
+            end -= 4
+        streams.append(stream(end))
+        end = streams[-1][0]
+    for start, check, records in reversed(streams):
+        at = start + 12
+        for unpadded, out in records:
+            yield "block", at, unpadded + 3 & ~3, out, None, {"unpadded": str(unpadded), "check": str(check)}
+            at += unpadded + 3 & ~3
 
 
 def bzip2_blocks(data: bytes) -> Iterator[Unit]:

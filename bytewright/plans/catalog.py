@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytewright.functions import checksums as C
-from bytewright.functions import codecs, filters
-from bytewright.operators import analysis, chunked, framing
+from bytewright.functions import codecs, filters, headers
+from bytewright.operators import analysis, chunked, framing, parallel, prefix_codes, stream_index
 from bytewright.plans.columns import pick
 from bytewright.sources.tables import table
 
@@ -134,6 +134,89 @@ def match_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.match_distances(_docs(spark, sf_dir), "content", "doc_id").withColumn("mean_distance", F.round("mean_distance", 6))
 
 
+def _parallel(codec: str, size: int) -> _Query:
+    """Texts encoded by parts and decoded by parts."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        packed = parallel.encode(analysis.objects(table(spark, sf_dir, "documents")), codec, size)
+        return parallel.decode(packed, codec).select(F.col("path").cast("long").alias("doc_id"), "how", F.md5("data").alias("md5"))
+
+    return run
+
+
+def parallel_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of which every third lacks its last byte: those are refused by the serial decoder, the others joined from blocks."""
+    packed = parallel.encode(analysis.objects(table(spark, sf_dir, "documents")), "bzip2", 16384)
+    cut = F.expr("if(cast(path as bigint) % 3 = 0, substring(content, 1, octet_length(content) - 1), content)")
+    found = parallel.decode(packed.select("path", cut.alias("content")), "bzip2")
+    return found.select(F.col("path").cast("long").alias("doc_id"), "how", "error", F.md5("data").alias("md5"))
+
+
+def bgzf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as BGZF objects with the end block, decoded by their members."""
+    packed = chunked.bgzf_objects(analysis.objects(table(spark, sf_dir, "documents")))
+    return parallel.decode(packed, "bgzf").select(F.col("path").cast("long").alias("doc_id"), "how", F.octet_length("data").cast("long").alias("n_bytes"), F.md5("data").alias("md5"))
+
+
+def snappy_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of Snappy streams from decoded byte 10,000 on, without those before."""
+    packed = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), codecs.compress(F.col("content"), "snappy_stream").alias("content"))
+    rows = parallel.decode_blocks(packed, "snappy_stream", skip=10000)
+    return rows.select(F.col("path").cast("long").alias("doc_id"), F.col("seq").cast("long").alias("seq"), "out_offset", F.md5("data").alias("md5"))
+
+
+def snappy_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two blocks of each document, its text and its source, joined without decoding."""
+    packed = lambda c: codecs.compress(F.encode(F.coalesce(c, F.lit("")), "UTF-8"), "snappy")
+    docs = _docs(spark, sf_dir).select("doc_id", F.array(packed("text"), packed("source")).alias("blocks"))
+    return docs.select("doc_id", F.md5(codecs.decompress(codecs.concat_blocks(F.col("blocks")), "snappy")).alias("md5"))
+
+
+def snappy_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the indexes behind Snappy streams, one for each chunk."""
+    packed = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), stream_index.indexed(codecs.compress(F.col("content"), "snappy_stream"), 65536).alias("content"))
+    return stream_index.stored_entries(packed).select(F.col("path").cast("long").alias("doc_id"), F.col("seq").cast("long").alias("seq"), "out_offset")
+
+
+def skippable_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames and chunks that decoders skip, before and behind zstd frames and Snappy chunks."""
+    docs = _docs(spark, sf_dir)
+    note = F.encode(F.col("doc_id").cast("string"), "UTF-8")
+    zstd = F.concat(headers.skippable_frame(note, 3), codecs.compress(F.col("content"), "zstd"), headers.skippable_frame(note))
+    snappy = F.concat(codecs.compress(F.col("content"), "snappy_stream"), headers.skippable_chunk(note))
+    return docs.select("doc_id", zstd.alias("z"), snappy.alias("s")).select("doc_id", F.md5(codecs.decompress(F.col("z"), "zstd")).alias("zstd"), F.md5(codecs.decompress(F.col("s"), "snappy_stream")).alias("snappy"))
+
+
+def sniffed_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in a container that doc_id chooses, decoded by what the first bytes say."""
+    docs = _docs(spark, sf_dir)
+    either = lambda a, b: F.when(F.col("doc_id") % 2 == 0, codecs.compress(F.col("content"), a)).otherwise(codecs.compress(F.col("content"), b))
+    packed = docs.select("doc_id", either("gzip", "zlib").alias("g"), either("zlib", "raw").alias("z"))
+    return packed.select("doc_id", F.md5(codecs.decompress(F.col("g"), "gzip_or_zlib")).alias("gzip_or_zlib"), F.md5(codecs.decompress(F.col("z"), "zlib_or_raw")).alias("zlib_or_raw"))
+
+
+def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What first bytes say, of a byte that doc_id gives."""
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id").withColumn("byte", F.col("doc_id") % 256)
+    lzma, bits = headers.lzma_properties(F.col("byte")), headers.brotli_window_bits(F.col("byte"))
+    return docs.select("doc_id", "byte", lzma["lc"].alias("lc"), lzma["lp"].alias("lp"), lzma["pb"].alias("pb"), headers.lzma_dictionary(F.col("doc_id") * 7).alias("lzma_dictionary"), headers.lzma2_dictionary(F.col("doc_id") % 43).alias("lzma2_dictionary"), bits.alias("window_bits"), headers.brotli_window(bits).alias("window"))
+
+
+def gdeflate_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile stream headers of as many bytes as texts have, times 50, read again."""
+    docs = _docs(spark, sf_dir).select("doc_id", (F.octet_length("content") * 50).cast("long").alias("n"))
+    return docs.select("doc_id", headers.gdeflate_inspect(headers.gdeflate_header(F.col("n"))).alias("i")).select("doc_id", "i.tiles", "i.size", "i.last_tile", "i.error")
+
+
+def prefix_codes_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optimal codes of each language's bytes: they fill the code space, and cost less than a bit a byte above the entropy."""
+    codes = prefix_codes.prefix_codes(analysis.byte_histogram(_docs(spark, sf_dir), "content", "lang"), "lang")
+    total, n = F.sum(F.col("n") * F.col("length")), F.sum("n")
+    entropy = n * F.log2(n) - F.sum(F.col("n") * F.log2("n"))
+    space = F.sum(F.pow(F.lit(2.0), 15 - F.col("length"))).cast("long")
+    return codes.groupBy("lang").agg(F.count(F.lit(1)).alias("n_symbols"), space.alias("space"), ((total >= entropy - 1) & (total < entropy + n)).alias("near_entropy"))
+
+
 def queries() -> dict[str, _Query]:
     found: dict[str, _Query] = {
         "crc32_documents": _checksum(C.crc32, "crc32"),
@@ -152,6 +235,9 @@ def queries() -> dict[str, _Query]:
     found |= {f"units_{c}": _units(c, c) for c in ("gzip", "zstd", "xz")} | {"units_snappy": _units("snappy_stream", "snappy"), "units_lz4": _units("lz4", "lz4")}
     for f in (bounds, byte_histogram, byte_entropy_by_lang, run_lengths, block_split_points, stored_vs_fixed_cost, dmer_coverage_top, delta_filter_roundtrip, zlib_header_classify, bgzf_layout, seek_find, parallel_gzip_roundtrip, zstd_seekable_roundtrip, size_report_rollup, match_distances):
         found[f.__name__] = f
+    found |= {f"parallel_{c}": _parallel(c, size) for c, size in (("xz", 16384), ("bzip2", 16384), ("snappy_stream", 65536), ("zstd", 16384))}
+    for f in (parallel_fallback, bgzf_roundtrip, snappy_skip, snappy_concat, snappy_index, skippable_roundtrip, sniffed_containers, header_fields, gdeflate_inspect, prefix_codes_by_lang):
+        found[f.__name__] = f
     return found
 
 
@@ -219,6 +305,22 @@ def oracle_sql() -> dict[str, str]:
         "units_xz": f"{one_unit} WHERE {n} > 0",
         "match_distances": f"WITH {_BYTES}, g AS (SELECT doc_id, pos, byte + lead(byte, 1) OVER w * 256 + lead(byte, 2) OVER w * 65536 + (lead(byte, 3) OVER w)::BIGINT * 16777216 AS gram FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), k AS (SELECT doc_id, pos - lag(pos) OVER (PARTITION BY doc_id, gram ORDER BY pos) AS gap FROM g WHERE gram IS NOT NULL) SELECT doc_id, count(*) AS n_positions, count(*) FILTER (gap <= 32768) AS n_matched, round(avg(gap) FILTER (gap <= 32768), 6) AS mean_distance FROM k GROUP BY doc_id",
     }
+    text = "coalesce(text, '')"
+    # an empty text has no blocks, so the serial decoder answers; of zstd and bzip2 an empty frame or stream is still one
+    for c, first in (("xz", "serial"), ("bzip2", "serial"), ("snappy_stream", "serial"), ("zstd", "blocks")):
+        found[f"parallel_{c}"] = f"SELECT doc_id, CASE WHEN {n} = 0 THEN '{first}' ELSE 'blocks' END AS how, md5({text}) AS md5 FROM documents"
+    found |= {
+        "parallel_fallback": f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR {n} = 0 THEN 'serial' ELSE 'blocks' END AS how, CASE WHEN doc_id % 3 = 0 THEN 'Truncated' END AS error, CASE WHEN doc_id % 3 <> 0 THEN md5({text}) END AS md5 FROM documents",
+        "bgzf_roundtrip": f"SELECT doc_id, 'blocks' AS how, {n} AS n_bytes, md5({text}) AS md5 FROM documents",
+        "snappy_skip": f"WITH c AS (SELECT doc_id, hex(encode({text})) AS h, {n} AS n, unnest(range(({n} + 65535) // 65536)) AS seq FROM documents) SELECT doc_id, seq, seq * 65536 AS out_offset, md5(unhex(substr(h, seq * 131072 + 1, 131072))) AS md5 FROM c WHERE least((seq + 1) * 65536, n) > 10000",
+        "snappy_concat": f"SELECT doc_id, md5({text} || coalesce(source, '')) AS md5 FROM documents",
+        "snappy_index": f"SELECT doc_id, seq, seq * 65536 AS out_offset FROM (SELECT doc_id, unnest(range(({n} + 65535) // 65536)) AS seq FROM documents)",
+        "skippable_roundtrip": f"SELECT doc_id, md5({text}) AS zstd, md5({text}) AS snappy FROM documents",
+        "sniffed_containers": f"SELECT doc_id, md5({text}) AS gzip_or_zlib, md5({text}) AS zlib_or_raw FROM documents",
+        "header_fields": "WITH b AS (SELECT doc_id, doc_id % 256 AS byte, doc_id % 43 AS l FROM documents), c AS (SELECT *, byte <= 224 AND byte % 9 + byte // 9 % 5 <= 4 AS ok, CASE WHEN byte % 2 = 0 THEN 16 WHEN (byte >> 1) & 7 > 0 THEN 17 + ((byte >> 1) & 7) WHEN (byte >> 4) & 7 = 0 THEN 17 WHEN (byte >> 4) & 7 > 1 THEN 8 + ((byte >> 4) & 7) END AS w FROM b) SELECT doc_id, byte, CASE WHEN ok THEN byte % 9 END::INTEGER AS lc, CASE WHEN ok THEN byte // 9 % 5 END::INTEGER AS lp, CASE WHEN ok THEN byte // 45 END::INTEGER AS pb, (greatest(doc_id * 7, 4096) + 15) // 16 * 16 AS lzma_dictionary, CASE WHEN l = 40 THEN 4294967295 WHEN l < 40 THEN (2 + l % 2) << (l // 2 + 11) END::BIGINT AS lzma2_dictionary, w::INTEGER AS window_bits, ((1::BIGINT << w) - 16)::BIGINT AS \"window\" FROM c",
+        "gdeflate_inspect": f"WITH d AS (SELECT doc_id, {n} * 50 AS n FROM documents) SELECT doc_id, ((n + 65535) // 65536)::BIGINT AS tiles, n AS size, CASE WHEN n = 0 THEN 0 WHEN n % 65536 = 0 THEN 65536 ELSE n % 65536 END::BIGINT AS last_tile, NULL::VARCHAR AS error FROM d",
+        "prefix_codes_by_lang": f"WITH {_BYTES} SELECT lang, count(DISTINCT byte) AS n_symbols, 32768::BIGINT AS space, true AS near_entropy FROM y GROUP BY lang",
+    }
     for c in CODECS:
         found[f"roundtrip_{c}"] = f"SELECT doc_id, {n} AS n_bytes, md5(coalesce(text, '')) AS md5 FROM documents"
     return found
