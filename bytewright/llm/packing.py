@@ -35,7 +35,7 @@ from bytewright.plans.columns import pick
 from bytewright.sources.tables import table
 
 NAME = "op9_packing"
-WINDOW, END_ID, CACHE_WORDS = 4096, 2, 250_000
+WINDOW, END_ID, CACHE_WORDS = 4096, 2, 200_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
@@ -54,6 +54,7 @@ class Ids:
         size = self.encoder.get_vocab_size()
         self.ends = np.fromiter(((self.encoder.id_to_token(i) or "").endswith("</w>") for i in range(size)), bool, size)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the words before these: those met again move over, the others are forgotten
 
     @classmethod
     def at(cls, path: str) -> Ids:
@@ -84,14 +85,17 @@ class Ids:
         known.update((w, known[w[:-1]] + known[w[-1]]) for w in marked)
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        known = self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        if len(self.words) > CACHE_WORDS:
+            self.older, self.words = self.words, {}
+        known, older = self.words, self.older
         split = [None if t and _ODD.search(t) else _plain(t or "").split() for t in texts]
         new: set[str] = set()
         for words in split:
             new.update(words or ())
         new -= known.keys()
+        again = new & older.keys()
+        known.update((w, older[w]) for w in again)
+        new -= again
         if new:
             self._learn(new)
         return [self._encode([t])[0] if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, split, strict=True)]
