@@ -25,6 +25,7 @@ import re
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from bytewright.sources.tables import table
 NAME = "op9_packing"
 WINDOW, END_ID, CACHE_WORDS = 4096, 2, 200_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
@@ -63,7 +64,10 @@ class Ids:
         return cls._kept[path]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch(texts, add_special_tokens=False)]
+        found = [e.ids for e in self.encoder.encode_batch(texts, add_special_tokens=False)]
+        data = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        ends = [4 * n for n in accumulate(map(len, found))]
+        return [data[a:b] for a, b in pairwise([0, *ends])]
 
     def _encode_letters(self, words: list[str]) -> list[bytes]:
         """Words of nothing but letters are one pre-token each, whose last token alone ends a word."""
@@ -71,8 +75,8 @@ class Ids:
         cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
         if len(cuts) != len(words):
             return self._encode(words)
-        data, starts = ids.tobytes(), [0, *cuts[:-1].tolist()]
-        return [data[a:b] for a, b in zip(starts, cuts.tolist(), strict=True)]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in pairwise([0, *cuts.tolist()])]
 
     def _learn(self, new: set[str]) -> None:
         known = self.words
@@ -88,17 +92,14 @@ class Ids:
         if len(self.words) > CACHE_WORDS:
             self.older, self.words = self.words, {}
         known, older = self.words, self.older
-        split = [None if t and _ODD.search(t) else _plain(t or "").split() for t in texts]
-        new: set[str] = set()
-        for words in split:
-            new.update(words or ())
-        new -= known.keys()
+        split = [None if t and any(map(t.__contains__, _ODD)) else _plain(t or "").split() for t in texts]
+        new = set().union(*(words for words in split if words)).difference(known)
         again = new & older.keys()
         known.update((w, older[w]) for w in again)
         new -= again
         if new:
             self._learn(new)
-        return [self._encode([t])[0] if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, split, strict=True)]
+        return [self._encode([t])[0] if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
 
 def _plain(text: str) -> str:
