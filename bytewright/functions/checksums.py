@@ -189,6 +189,18 @@ def _combiner(poly: int):
 crc32_combine, crc32c_combine = _combiner(CRC32), _combiner(CRC32C)
 
 
+def crc32_combine_gen(len_b: int, poly: int = CRC32) -> list[int]:
+    """What combining with a second piece of ``len_b`` bytes does to each bit of the first piece's checksum."""
+    operator = crc_operator(len_b, poly)
+    return [crc_apply(1 << i, 0, operator, poly) for i in range(32)]
+
+
+def crc32_combine_op(a: Column, b: Column, op: list[int]) -> Column:
+    """Of the concatenation of two pieces, by ``crc32_combine_gen`` of the second one's length: bit operations only."""
+    bits = (F.shiftright(a, i).bitwiseAND(1) * F.lit(moved).cast("long") for i, moved in enumerate(op))
+    return functools.reduce(Column.bitwiseXOR, bits, b.cast("long"))
+
+
 def _behind(rows: DataFrame, group: list[str], order: str, length: str) -> DataFrame:
     """``rows`` with ``_behind``, the sum of ``length`` over a group's rows later in order. Rows are cut into ranges by group and
     order, whatever the groups' sizes; sums of ranges are added up, and rows just within their range."""

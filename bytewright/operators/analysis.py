@@ -8,9 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from bytewright.plans.columns import pick
 
@@ -152,3 +154,23 @@ def size_report(sizes: DataFrame, *keys: str) -> DataFrame:
 def objects(documents: DataFrame) -> DataFrame:
     """Documents as (path, content)."""
     return pick(documents, "doc_id", "text").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+
+
+def cut_points(data: Column, bits: int = 12) -> Column:
+    """Where content-defined chunks of about 2^bits bytes begin (0 left out): a cut follows eight bytes whose hash ends in zeros
+    from its top bit down, so a change moves the cuts beside it and no others. Null stays null; short values have no cuts."""
+
+    @pandas_udf("array<long>")
+    def run(values: pd.Series) -> pd.Series:
+        def one(v: bytes) -> np.ndarray:
+            a = np.frombuffer(v, np.uint8).astype(np.uint32)
+            if len(a) < 8:
+                return np.zeros(0, np.int64)
+            gram = a[:-3] | a[1:-2] << np.uint32(8) | a[2:-1] << np.uint32(16) | a[3:] << np.uint32(24)
+            hashed = gram[:-4] * np.uint32(0x9E3779B1) + gram[4:] * np.uint32(0x85EBCA77)
+            found = np.flatnonzero(hashed >> np.uint32(32 - bits) == 0) + 8
+            return found[found < len(a)]
+
+        return values.map(lambda v: None if v is None else one(bytes(v)))
+
+    return run(data)

@@ -187,6 +187,17 @@ def skippable_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", zstd.alias("z"), snappy.alias("s")).select("doc_id", F.md5(codecs.decompress(F.col("z"), "zstd")).alias("zstd"), F.md5(codecs.decompress(F.col("s"), "snappy_stream")).alias("snappy"))
 
 
+def crc32_combine_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRC-32 of each text with its length's last four digits behind it, from both pieces' checksums and one operator."""
+    end = F.encode(F.lpad((F.octet_length("content") % 10000).cast("string"), 4, "0"), "UTF-8")
+    return _docs(spark, sf_dir).select("doc_id", C.crc32_combine_op(F.crc32("content"), F.crc32(end), C.crc32_combine_gen(4)).alias("crc32"))
+
+
+def content_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where content-defined chunks of each text begin."""
+    return _docs(spark, sf_dir).select("doc_id", F.explode(analysis.cut_points(F.col("content"), 8)).alias("start"))
+
+
 def sniffed_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in a container that doc_id chooses, decoded by what the first bytes say."""
     docs = _docs(spark, sf_dir)
@@ -236,7 +247,7 @@ def queries() -> dict[str, _Query]:
     for f in (bounds, byte_histogram, byte_entropy_by_lang, run_lengths, block_split_points, stored_vs_fixed_cost, dmer_coverage_top, delta_filter_roundtrip, zlib_header_classify, bgzf_layout, seek_find, parallel_gzip_roundtrip, zstd_seekable_roundtrip, size_report_rollup, match_distances):
         found[f.__name__] = f
     found |= {f"parallel_{c}": _parallel(c, size) for c, size in (("xz", 16384), ("bzip2", 16384), ("snappy_stream", 65536), ("zstd", 16384))}
-    for f in (parallel_fallback, bgzf_roundtrip, snappy_skip, snappy_concat, snappy_index, skippable_roundtrip, sniffed_containers, header_fields, gdeflate_inspect, prefix_codes_by_lang):
+    for f in (parallel_fallback, bgzf_roundtrip, snappy_skip, snappy_concat, snappy_index, skippable_roundtrip, sniffed_containers, header_fields, gdeflate_inspect, prefix_codes_by_lang, crc32_combine_fixed, content_cuts):
         found[f.__name__] = f
     return found
 
@@ -319,6 +330,8 @@ def oracle_sql() -> dict[str, str]:
         "sniffed_containers": f"SELECT doc_id, md5({text}) AS gzip_or_zlib, md5({text}) AS zlib_or_raw FROM documents",
         "header_fields": "WITH b AS (SELECT doc_id, doc_id % 256 AS byte, doc_id % 43 AS l FROM documents), c AS (SELECT *, byte <= 224 AND byte % 9 + byte // 9 % 5 <= 4 AS ok, CASE WHEN byte % 2 = 0 THEN 16 WHEN (byte >> 1) & 7 > 0 THEN 17 + ((byte >> 1) & 7) WHEN (byte >> 4) & 7 = 0 THEN 17 WHEN (byte >> 4) & 7 > 1 THEN 8 + ((byte >> 4) & 7) END AS w FROM b) SELECT doc_id, byte, CASE WHEN ok THEN byte % 9 END::INTEGER AS lc, CASE WHEN ok THEN byte // 9 % 5 END::INTEGER AS lp, CASE WHEN ok THEN byte // 45 END::INTEGER AS pb, (greatest(doc_id * 7, 4096) + 15) // 16 * 16 AS lzma_dictionary, CASE WHEN l = 40 THEN 4294967295 WHEN l < 40 THEN (2 + l % 2) << (l // 2 + 11) END::BIGINT AS lzma2_dictionary, w::INTEGER AS window_bits, ((1::BIGINT << w) - 16)::BIGINT AS \"window\" FROM c",
         "gdeflate_inspect": f"WITH d AS (SELECT doc_id, {n} * 50 AS n FROM documents) SELECT doc_id, ((n + 65535) // 65536)::BIGINT AS tiles, n AS size, CASE WHEN n = 0 THEN 0 WHEN n % 65536 = 0 THEN 65536 ELSE n % 65536 END::BIGINT AS last_tile, NULL::VARCHAR AS error FROM d",
+        "crc32_combine_fixed": _crc_sql(C.CRC32, "crc32").replace("hex(encode(coalesce(text, '')))", f"hex(encode(coalesce(text, '') || lpad(({n} % 10000)::VARCHAR, 4, '0')))"),
+        "content_cuts": f"WITH {_BYTES}, g AS (SELECT doc_id, pos, n, byte + lead(byte, 1) OVER w * 256 + lead(byte, 2) OVER w * 65536 + (lead(byte, 3) OVER w)::HUGEINT * 16777216 AS gram FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), k AS (SELECT doc_id, pos, n, (gram * 2654435761 + lead(gram, 4) OVER (PARTITION BY doc_id ORDER BY pos) * 2246822519) % 4294967296 AS h FROM g) SELECT doc_id, pos + 8 AS start FROM k WHERE h < 16777216 AND pos + 8 < n",
         "prefix_codes_by_lang": f"WITH {_BYTES} SELECT lang, count(DISTINCT byte) AS n_symbols, 32768::BIGINT AS space, true AS near_entropy FROM y GROUP BY lang",
     }
     for c in CODECS:
