@@ -79,12 +79,16 @@ def shingle_sets(texts: pa.Array, size: int = SIZE) -> Iterator[np.ndarray]:
     for the whole sequence; none without words or text."""
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    _, places, data = texts.buffers()
+    offsets = np.frombuffer(places, np.int64)[texts.offset : texts.offset + n + 1] if n else None
     a = 0
     with np.errstate(over="ignore"):
         while a < n:
             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _CHUNK, "right")) - 1)
-            for h in _chunk(texts.slice(a, b - a), size):
+            # Arrow's ascii_lower answers with other bytes where offsets don't start at 0, as after the cast of a slice.
+            own, length = pa.py_buffer(offsets[a : b + 1] - offsets[a]), int(offsets[b] - offsets[a])
+            part = pa.LargeStringArray.from_buffers(b - a, own, data.slice(int(offsets[a]), length) if length else pa.py_buffer(b""))
+            for h in _chunk(part, size):
                 yield np.unique(h)
             a = b
 

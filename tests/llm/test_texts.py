@@ -6,10 +6,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bytewright.llm import jaccard, licenses, pii, suffixes, toxicity
+from bytewright.llm import jaccard, licenses, pii, shingles, suffixes, toxicity
 
 DOCS = "doc_id long, text string"
 RNG = random.Random(11)
@@ -320,6 +321,23 @@ def test_jaccard_of_a_very_long_text(spark):
     assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()} == {1: 1, 2: 1, 3: 3}
 
 
+def test_shingles_of_slices():
+    full = ["", "A b C d E f"] + [words(n % 40, random.Random(n)) for n in range(60)]
+    for texts in (full, [None, *full]):
+        want = [s.tolist() for t in texts for s in shingles.shingle_sets(pa.array([t], pa.string()))]
+        for kind in (pa.string(), pa.large_string()):
+            whole = pa.array(texts, kind)
+            for a, n in ((0, len(texts)), (1, 1), (2, 1), (2, 30), (31, 31), (62, 0)):
+                assert [s.tolist() for s in shingles.shingle_sets(whole.slice(a, n))] == want[a : a + n]
+
+
+def test_jaccard_links_beyond_the_first_slice_of_a_batch(spark):
+    rows = [(i, words(40, random.Random(i))) for i in range(1300)]
+    rows += [(5000 + i, f"{t} more") for i, t in rows]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, DOCS).coalesce(1)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((d, len(t.split()) - 4, d % 5000) for d, t in rows)
+
+
 # --- repeated bytes
 
 
