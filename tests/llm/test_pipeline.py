@@ -79,3 +79,10 @@ def test_stages_on_an_empty_table(spark):
     docs = spark.createDataFrame([], KINDS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).collect() == []
+
+
+def test_near_duplicates_beyond_the_first_slice_of_a_batch(spark):
+    rows = [(i, " ".join(f"w{i * 40 + k}" for k in range(40)), "en", "a", 200) for i in range(1300)]
+    rows += [(5000 + i, f"{t} more", *rest) for i, t, *rest in rows]
+    docs = spark.createDataFrame(rows, KINDS).coalesce(1)
+    assert sorted(tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == rows[:1300]
