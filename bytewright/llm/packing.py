@@ -10,9 +10,11 @@ there. The last remainder goes into sequences of powers of two, which need no pa
 Every task packs the documents of its input split; no rows are moved. A sequence's id holds the task's partition.
 
 Tokens: the pre-tokenizer never joins across white space, so the tokens of a text are those of its words in turn,
-and each Python worker keeps the tokens of words that it has seen (from ``CACHE_WORDS`` on it starts anew). Texts with
-characters that Python and the tokenizer don't agree on as white space are encoded in one call. Words are put together from stem
-and mark, or encoded many at a time, only where all letters are of ASCII or Latin-1.
+and each Python worker keeps the tokens of words of up to ``CACHE_LETTERS`` characters that it has seen (from ``CACHE_WORDS`` on it
+starts anew, with the words before at hand). Texts with characters that Python and the tokenizer don't agree on as white space are
+encoded in one call. Words of ASCII and Latin-1 letters are cut into pre-tokens here, and the model alone is asked for these; this
+saves what the tokenizer spends on normalising and on offsets. All other words, and all words of a tokenizer with other rules, are
+encoded by the tokenizer.
 
 Defined cases: a null or empty text is ``end_id`` alone; a null doc_id stays null; repeated rows are packed as often;
 an empty table gives an empty result; other columns are ignored; documents longer than a window are cut.
@@ -20,12 +22,12 @@ an empty table gives an empty result; other columns are ignored; documents longe
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
-from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,82 +35,90 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from bytewright.plans.columns import pick
+from bytewright.plans.workers import kept
 from bytewright.sources.tables import table
 
 NAME = "op9_packing"
-WINDOW, END_ID, CACHE_WORDS = 4096, 2, 200_000
+WINDOW, END_ID, CACHE_WORDS, CACHE_LETTERS = 4096, 2, 200_000, 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-
-
-class Ids:
-    """Token ids of texts, as little-endian 32-bit bytes. One of these serves all tasks of a Python worker."""
-
-    _kept: dict[str, Ids] = {}
+_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@[-`{-~]+").findall
+#: A full stop or comma at a word's end that follows another mark, and so is no pre-token of its own.
+_MARKS = re.compile(r"[.,](?<=[^a-z0-9ß-öø-ÿ\s][.,])\s").search
+#: How byte-level tokenizers write the letters that are two bytes long in UTF-8.
+_WRITTEN = {n: "Ã" + (chr(b) if b > 0xA0 and b != 0xAD else chr(323 if b == 0xAD else b + 162)) for n in range(0xC0, 0x100) for b in (n - 0x40,)}
+#: The settings under which ``_PARTS`` of a word in lower case are its pre-tokens.
+_KNOWN = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
+class Ids(dict):
+    """Token ids of words, and by these of texts, as little-endian 32-bit bytes. One of these serves all tasks of a Python worker."""
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        size = self.encoder.get_vocab_size()
-        self.ends = np.fromiter(((self.encoder.id_to_token(i) or "").endswith("</w>") for i in range(size)), bool, size)
-        self.words: dict[str, bytes] = {}
+        self.tokenize = self.encoder.model.tokenize
+        self.four = [i.to_bytes(4, "little") for i in range(self.encoder.get_vocab_size())]
+        self.by_parts = tuple(x and json.loads(x.__getstate__()) for x in (self.encoder.normalizer, self.encoder.pre_tokenizer)) == _KNOWN
         self.older: dict[str, bytes] = {}  # the words before these: those met again move over, the others are forgotten
 
     @classmethod
     def at(cls, path: str) -> Ids:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = [e.ids for e in self.encoder.encode_batch(texts, add_special_tokens=False)]
-        data = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
-        ends = [4 * n for n in accumulate(map(len, found))]
-        return [data[a:b] for a, b in pairwise([0, *ends])]
-
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
-        """Words of nothing but letters are one pre-token each, whose last token alone ends a word."""
-        ids = np.array(self.encoder.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-        if len(cuts) != len(words):
-            return self._encode(words)
-        data = ids.tobytes()
-        return [data[a:b] for a, b in pairwise([0, *cuts.tolist()])]
-
-    def _learn(self, new: set[str]) -> None:
-        known = self.words
-        marked = {w for w in new if w[-1] in ".,!" and _LETTERS(w[:-1])}
-        letters = [w for w in {w for w in new if _LETTERS(w)} | {w[:-1] for w in marked} if w not in known]
-        for at in range(0, len(letters), 5_000):
-            known.update(zip(letters[at : at + 5_000], self._encode_letters(letters[at : at + 5_000]), strict=True))
-        rest = [w for w in (new - marked) | {w[-1] for w in marked} if w not in known]
-        known.update(zip(rest, self._encode(rest), strict=True))
-        known.update((w, known[w[:-1]] + known[w[-1]]) for w in marked)
-
-    def of(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.words) > CACHE_WORDS:
-            self.older, self.words = self.words, {}
-        known, older = self.words, self.older
-        split = [None if t and any(map(t.__contains__, _ODD)) else _plain(t or "").split() for t in texts]
-        new = set().union(*(words for words in split if words)).difference(known)
-        again = new & older.keys()
-        known.update((w, older[w]) for w in again)
-        new -= again
-        if new:
-            self._learn(new)
-        return [self._encode([t])[0] if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
-
-
-def _plain(text: str) -> str:
-    """In lower case where that changes no token: in Latin-1, composing characters doesn't interfere with case."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
+        return kept((NAME, path), lambda: cls(path))
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        return b"".join([self.four[t.id] for t in self.tokenize(part if part.isascii() else part.translate(_WRITTEN))])
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            if not self.by_parts or not (letters := word.isascii() and word.isalpha()) and not _SIMPLE(word):
+                found = self._encode(word)
+            elif letters:
+                found = self._part(word.lower())
+            elif len(parts := _PARTS(word.lower())) == 1:
+                found = self._part(parts[0])
+            else:
+                found = b"".join([self.get(p) or self.older.get(p) or self._part(p) for p in parts])
+        if len(word) <= CACHE_LETTERS:
+            self[word] = found
+        return found
+
+    def _words(self, text: str) -> list[str]:
+        """What, encoded word by word, has the ids of the text; in lower case where that changes no token: in Latin-1, composing
+        characters doesn't interfere with case. Full stops and commas are words where they are pre-tokens."""
+        try:
+            text.isascii() or text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        text = text.lower()
+        if self.by_parts and not _MARKS(text):
+            text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")
+        return text.split()
+
+    def of(self, texts: list[str | None]) -> Iterator[bytes]:
+        word = self.__getitem__
+        for t in texts:
+            if len(self) > CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            yield self._encode(t) if t and any(map(t.__contains__, _ODD)) else b"".join(map(word, self._words(t or "")))
 
 
 class Packer:

@@ -151,3 +151,35 @@ def test_most_tokens_stay_where_they_were_placed():
         sizes[number] += n
     assert sum(sizes.values()) == total and all(n & (n - 1) == 0 for n in sizes.values())
     assert packer.cut < 0.2 * total
+
+
+def test_simple_words_are_not_normalised_again(monkeypatch):
+    """Words of ASCII and Latin-1 letters, digits and marks cost the model alone; all ids are those of one call for each text."""
+    rng = random.Random(4)
+    ids = packing.Ids(packing.tokenizer_file())
+    texts = ["'s", "don't. ", "$$$. x", "x_. y", "a.. b", "1. 2, ", ". x", "x .\n, y", "Æß'LL'. ¿qué? À.", "ª. b", "x's, y's.\tz", "été.\r\nÀÿß, x!, "]
+    for _ in range(20_000):
+        texts.append("".join(rng.choice(("a", "Be", "é", "ß", "Ñ", "ÿ", "7", "42", ".", ",", "'", "'s", "'RE", "_", "$", "!", "-", " ", " ", " ", "\n", "\t", "\xa0")) for _ in range(rng.randint(1, 14))))
+    plain = [np.array(e.ids, "<u4").tobytes() for e in ids.encoder.encode_batch(texts, add_special_tokens=False)]
+    asked = []
+    encode = packing.Ids._encode
+    monkeypatch.setattr(packing.Ids, "_encode", lambda self, x: asked.append(x) or encode(self, x))
+    assert [t for t, x, y in zip(texts, ids.of(texts), plain, strict=True) if x != y] == []
+    assert asked == ["¿qué?", "ª."]
+
+
+def test_memory_of_long_words():
+    """They are encoded whole, and not kept."""
+    import tracemalloc
+
+    ids = packing.Ids(packing.tokenizer_file())
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=5_000)) for _ in range(1_000)]
+    want = [np.array(ids.encoder.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words[:5]]
+    assert list(ids.of(words[:5])) == want
+    tracemalloc.start()
+    for w in words:
+        list(ids.of([w]))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1_000_000
