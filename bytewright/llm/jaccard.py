@@ -42,6 +42,7 @@ from bytewright.llm.components import components
 from bytewright.llm.shingles import mixed, node_of, shingle_sets
 from bytewright.plans.columns import pick
 from bytewright.plans.scratch import forget, materialize
+from bytewright.plans.workers import alone
 from bytewright.sources.tables import table
 
 NAME = "op5_jaccard"
@@ -132,7 +133,7 @@ def sets_of(docs: DataFrame, size: int, percent: int, orders: int, frequent: flo
         if block:
             yield counted()
 
-    return docs.select("doc_id", "h", "text").mapInArrow(run, "kind int, doc_id long, h long, node long, check long, n long, heads binary")
+    return docs.select("doc_id", "h", "text").mapInArrow(alone(run), "kind int, doc_id long, h long, node long, check long, n long, heads binary")
 
 
 def prefix(s: np.ndarray, often: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +179,7 @@ def _prefixes(docs: DataFrame, often: np.ndarray, rank: np.ndarray, renamed: dic
             q = (place.astype(np.int64) * 1000 // n).astype(np.int32)
             yield _batch(names, pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(parts).astype(np.int32)), pa.array(q), pa.array(np.repeat(np.array(nodes, np.int64), each)), pa.array(n), pa.array(place))
 
-    return docs.select("text").mapInArrow(run, "token long, part int, q int, node long, n int, i int")
+    return docs.select("text").mapInArrow(alone(run), "token long, part int, q int, node long, n int, i int")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -220,7 +221,7 @@ def _shared(rows: DataFrame) -> DataFrame:
         if held is not None and (lead is not None or held[1][0] > 0):
             yield out(held + ([np.array([x]) for x in lead] if lead is not None else held[2:]))
 
-    return rows.mapInArrow(run, "token long, part int, node long, n int, i int, lead long, lead_n int, lead_i int")
+    return rows.mapInArrow(alone(run), "token long, part int, node long, n int, i int, lead long, lead_n int, lead_i int")
 
 
 def _allowed(percent: int, n: str, i: str, v: str, j: str) -> Column:
@@ -264,7 +265,7 @@ class _Texts:
                 keep = pa.array([test(n, v, x, y) for n, v, x, y in rows], pa.bool_())
                 yield _batch(["a", "b"], batch.column(0), batch.column(1)).filter(keep)
 
-        return materialize(both.mapInArrow(run, "a long, b long"), "jaccard-links")
+        return materialize(both.mapInArrow(alone(run), "a long, b long"), "jaccard-links")
 
     def _by_heads(self, pairs: DataFrame) -> DataFrame:
         if self.orders < 2:
@@ -289,7 +290,7 @@ class _Texts:
         wanted = self._wanted(pairs)
         rows = materialize(self.nodes.join(wanted, "node", "left_semi").select(F.coalesce("one.doc_id", F.lit(0)).alias("_id"), F.col("one.h").alias("_h")), "jaccard-rows")
         texts = self.docs.join(_few(self.docs.sparkSession, rows), (F.coalesce("doc_id", F.lit(0)) == F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi").select("text")
-        held = texts.mapInArrow(sets, "node long, n int, blob binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        held = texts.mapInArrow(alone(sets), "node long, n int, blob binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
         return self._compared(self._joined(pairs, held), test)
 
 

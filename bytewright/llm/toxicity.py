@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from bytewright.plans.columns import pick
 from bytewright.plans.scratch import forget
+from bytewright.plans.workers import kept
 from bytewright.sources.tables import table
 
 NAME = "op4_toxicity"
@@ -310,17 +311,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return [(r.x.bag, r.x.marks, int(r.x.toxic != 0)) for r in one]
 
 
-_SCORES: dict[bytes, dict[str, float]] = {}
-
-
 def score_documents(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``docs`` with doc_id and text to the columns ``keep``, held_out, score, predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = b"" if model is None else model.table.tobytes()
-        if mark not in _SCORES:
-            _SCORES.clear()
-        known = _SCORES.setdefault(mark, {})
+        known = kept((NAME, mark), dict)
         least = -1e9
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

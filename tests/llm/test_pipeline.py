@@ -4,6 +4,7 @@ import os
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__
@@ -86,3 +87,26 @@ def test_near_duplicates_beyond_the_first_slice_of_a_batch(spark):
     rows += [(5000 + i, f"{t} more", *rest) for i, t, *rest in rows]
     docs = spark.createDataFrame(rows, KINDS).coalesce(1)
     assert sorted(tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == rows[:1300]
+
+
+def test_a_worker_holds_one_cache():
+    """Scores of words are dropped before token ids are kept, and both before near duplicates."""
+    from bytewright.plans import workers
+
+    workers.kept(("a", 1), dict)["x"] = 1
+    assert workers.kept(("a", 1), dict) == {"x": 1}
+    assert workers.kept(("b", 1), list) == [] and list(workers._kept) == [("b", 1)]
+    assert list(workers.alone(lambda batches: iter([len(workers._kept), *batches]))(iter([5]))) == [0, 5] and not workers._kept
+
+
+def test_batches_of_texts_are_small(spark):
+    docs = spark.createDataFrame([(i, "some text", "en", "a", 9) for i in range(5000)], KINDS).coalesce(1)
+    before = spark.conf.get(corpus_pipeline.BATCH_SETTING)
+    try:
+        for rows, want in ((10_000, 2_000), (0, 2_000), (300, 300)):
+            spark.conf.set(corpus_pipeline.BATCH_SETTING, rows)
+            corpus_pipeline.pack(spark, docs, SF)
+            sizes = docs.select("doc_id").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+            assert max(r.n for r in sizes) == want
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_SETTING, before)
