@@ -1,7 +1,8 @@
 """Near duplicates among embeddings: hierarchical navigable small-world graphs per shard.
 
 Equal vectors are one node with a count. Nodes go to shards by a hash; each shard has a graph of its own, and every node
-queries every shard. A query's beam starts at ``BEAM`` and doubles, for all queries of a task, until an audit passes:
+queries every shard. So there are no more shards than ``SHARD_ROWS`` calls for: small tables are spread over tasks by blocks of
+queries, as a beam's cost hardly grows with its graph, but one more shard is one more beam for every node. A query's beam starts at ``BEAM`` and doubles, for all queries of a task, until an audit passes:
 brute force over the shard takes queries at random until ``AUDIT`` of them have links to others than themselves, or all
 are taken; of these links, and of each such query's on average, a share of ``RECALL`` at least must be among those found.
 The rarer links are, the more queries are audited, up to all of a task. A query whose whole beam reaches the threshold widens on its own, and
@@ -264,13 +265,15 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, shard_rows: i
 
     def build(part: pd.DataFrame, shard: int) -> bytes:
         part = part.sort_values("id")
-        x = unit(matrix(part["v"]))
-        layers = build_graph(x.astype(np.float32), seed=shard)
-        return packed(x=x, ids=part["id"].to_numpy(), copies=part["copies"].to_numpy(), **{f"layer{i}": a for i, a in enumerate(layers)})
+        v = matrix(part["v"])
+        with np.errstate(over="ignore"):
+            short = v.astype(np.float32)
+        layers = build_graph(unit(v).astype(np.float32), seed=shard)
+        return packed(v=short if (short == v).all() else v, ids=part["id"].to_numpy(), copies=part["copies"].to_numpy(), **{f"layer{i}": a for i, a in enumerate(layers)})
 
     def search(index: dict[str, np.ndarray], asked: pd.DataFrame, shard: int) -> pd.DataFrame:
         layers = [index[f"layer{i}"] for i in range(len(index) - 3)]
-        ids, q_ids, x, q = index["ids"], asked["id"].to_numpy(), index["x"], unit(matrix(asked["v"]))
+        ids, q_ids, x, q = index["ids"], asked["id"].to_numpy(), unit(index["v"].astype(np.float64)), unit(matrix(asked["v"]))
         at = np.minimum(np.searchsorted(ids, q_ids), len(ids) - 1)  # a shard's ids are in order
         own = np.where(ids[at] == q_ids, at, -1)
         low, low_q = x.astype(np.float32), q.astype(np.float32)
@@ -292,7 +295,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, shard_rows: i
         return pd.DataFrame({"a": np.concatenate([links[:, 0], q_ids[some]]), "b": np.concatenate([links[:, 1], q_ids[some]]), "reach": np.concatenate([np.zeros(len(links), np.int64), reach[some]])})
 
     vectors = nodes.select("id", "v", "copies")
-    found = materialize(against_shards(vectors, vectors.drop("copies"), build, search, "a long, b long, reach long", shard_rows, block_rows), "found")
+    found = materialize(against_shards(vectors, vectors.drop("copies"), build, search, "a long, b long, reach long", shard_rows, block_rows, few_rows=shard_rows), "found")
     reach = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("reach").alias("reach"))
     groups = materialize(components(found.where("a != b")).withColumnRenamed("node", "id"), "groups")
     least = materialize(groups.join(nodes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("smallest")), "smallest")

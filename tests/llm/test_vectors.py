@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +179,36 @@ def test_tree_prunes_and_is_exact_at_factor_one():
         s = (x * q[i]).sum(1)
         s[i] = -np.inf
         assert found[i][0].tolist() == np.lexsort((ids, -s))[:20].tolist()
+
+
+@pytest.mark.parametrize("shard_rows,shards", [(50_000, 1), (3_000, 2)])
+def test_no_more_beams_than_shards_call_for(spark, monkeypatch, shard_rows, shards):
+    """A table below the size of a shard has one graph, and each node one beam; the vectors' doubles are compared, whatever is shipped."""
+    x = _pairs(5000)
+    made = []
+    plain = hnsw.against_shards
+
+    def counted(rows, queries, build, search, *rest, **more):
+        def asked(index, part, shard):
+            out = search(index, part, shard)
+            counts = pd.DataFrame({"a": [-1 - shard], "b": [-1 - shard], "reach": [len(part)]})
+            return pd.concat([out, counts])
+
+        return plain(rows, queries, build, asked, *rest, **more)
+
+    monkeypatch.setattr(hnsw, "against_shards", counted)
+    monkeypatch.setattr(hnsw, "materialize", lambda df, name, plain=hnsw.materialize: made.append((name, plain(df, name))) or made[-1][1])
+    for cast in ("double", "float"):
+        made.clear()
+        df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, v array<double>").withColumn("v", F.col("v").cast(f"array<{cast}>"))
+        rows, nodes = hnsw.near_duplicates(df, shard_rows=shard_rows)
+        beams = {r.a: r.n for r in dict(made)["found"].where("a < 0").groupBy("a").agg(F.sum("reach").alias("n")).collect()}
+        assert beams == {-1 - s: len(x) for s in range(shards)}
+        v = x if cast == "double" else x.astype(np.float32).astype(float)
+        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        near = v @ v.T >= 0.9
+        np.fill_diagonal(near, False)
+        got = np.zeros(len(x), int)
+        for r in rows.join(nodes, "key").collect():
+            got[r.id] = r.linked
+        assert got.sum() >= 0.99 * near.sum() and (got <= near.sum(1)).all()
